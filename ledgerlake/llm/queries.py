@@ -10,6 +10,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "_dedup.n_lines", "_dedup.n_removed", "_dedup.n_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS g,
+         trim(l[p + 1]) = '' AND trim(l[p + 2]) = '' AND trim(l[p + 3]) = '' AS blank
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM l WHERE len(l) >= 3)),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM w WHERE NOT blank) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS q FROM later),
+spans AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (b IS NULL OR b < q - 1) AS n_spans
+  FROM (SELECT doc_id, q, lag(q) OVER (PARTITION BY doc_id ORDER BY q) AS b FROM gone) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY q) AS t
+  FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS q FROM l) ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(l.l), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(t, '')) AS kept_sha256
+FROM l LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -90,11 +118,31 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(c.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END::BIGINT AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op7_topk": op7_topk,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
-SQL = {"op3_decontaminate": OP3_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_topk": OP7_SQL}
