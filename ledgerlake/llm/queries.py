@@ -118,6 +118,54 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+#: The rules of op5: (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _parse(url: str) -> str:
+    low = f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"{low} AS host, coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"
+
+
+def _judge() -> str:
+    whens = "\n".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    return f"CASE {whens} END"
+
+
+OP5_SQL = f"""
+WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{h}{p}', '{v}')" for v, h, p in URL_RULES)}),
+p AS (SELECT *, {_judge()} AS rule FROM (SELECT page_id, url, html, {_parse("url")} FROM pages)),
+tags AS (
+  SELECT url, host, path, regexp_extract(t, '(?is)href\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS link
+  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS t FROM p) WHERE regexp_matches(t, '(?is)rel\\s*=\\s*["'']?canonical')
+  UNION ALL
+  SELECT url, host, path, regexp_extract(t, '(?is)url\\s*=\\s*["'']?([^"''\\s>;]+)', 1)
+  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) AS t FROM p) WHERE regexp_matches(t, '(?is)http-equiv\\s*=\\s*["'']?refresh')),
+links AS (
+  SELECT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN ':' || link WHEN starts_with(link, '/') THEN '://' || host || link
+                   ELSE '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS b
+  FROM (SELECT url, host, path, replace(link, '&amp;', '&') AS link FROM tags WHERE link <> '')),
+nodes AS (
+  SELECT url, CASE WHEN contains(url, '://') THEN '://' || host || path || regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) ELSE url END AS node, {_judge()} AS rule
+  FROM (SELECT url, {_parse("url")} FROM (SELECT url FROM pages UNION SELECT b FROM links) WHERE url IS NOT NULL)),
+edges AS (SELECT x.node AS a, y.node AS b FROM links JOIN nodes x ON links.a = x.url JOIN nodes y ON links.b = y.url),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON r.b = e.a),
+said AS (
+  SELECT r.a AS node, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
+  FROM reach r JOIN nodes n ON r.b = n.node JOIN rules USING (rule) GROUP BY r.a)
+SELECT page_id, p.host, p.path, p.rule, coalesce(rules.verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN rules USING (rule) LEFT JOIN (SELECT DISTINCT url, node FROM nodes) n ON p.url = n.url LEFT JOIN said USING (node)
+"""
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import search
 
@@ -141,8 +189,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_url_filter": op5_url_filter,
     "op7_topk": op7_topk,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_topk": OP7_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_topk": OP7_SQL}
