@@ -108,6 +108,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("cluster_id"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kernels import crc_mod
     from .quality import fit, score
@@ -191,6 +197,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op7_topk": op7_topk,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
