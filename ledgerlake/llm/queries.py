@@ -172,6 +172,14 @@ FROM p LEFT JOIN rules USING (rule) LEFT JOIN (SELECT DISTINCT url, node FROM no
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import search
 
@@ -196,6 +204,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_topk": op7_topk,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
