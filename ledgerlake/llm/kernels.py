@@ -107,6 +107,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
         start = stop
 
 
+def text_chunks(texts: list[str], size: int = CHUNK) -> Iterator[pa.Array]:
+    """The texts as arrays of about ``size`` bytes."""
+    for part in chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())}), "text", size):
+        yield part.column(0)
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of the maximal runs of true bytes; runs don't cross rows."""
     n = len(inside)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of any training sample: rows in all classes together, and bytes of text.
-MOST_ROWS, MOST_BYTES = 12_000, 12 << 20
+MOST_ROWS, MOST_BYTES = 12_000, 8 << 20
 
 
 def stratified(

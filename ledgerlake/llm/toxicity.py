@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, Prefix, annotate, byte_class, string_buffers, word_spans
+from .kernels import LOWER, Prefix, annotate, byte_class, string_buffers, text_chunks, word_spans
 from .sampling import stratified
 
 BITS = 18
@@ -100,23 +100,34 @@ class Model:
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 2e-4, least: int = 5) -> tuple[np.ndarray, float]:
     """Adam on the noisy-or log-likelihood, all documents at once; classes weigh as they come."""
-    bags = Bags(pa.array(texts, pa.large_string()))
-    used, ids = np.unique(bags.ids, return_inverse=True)
-    ids = ids.reshape(bags.ids.shape)
-    df = np.bincount(np.unique(ids.reshape(-1) + len(used) * bags.row[np.repeat(bags.sentence, ids.shape[1])]) % len(used), minlength=len(used))
+    parts = [Bags(arr) for arr in text_chunks(texts)]
+    sizes = np.cumsum([0, *(b.n for b in parts)])
+    n = int(sizes[-1])
+    row = np.concatenate([b.row + at for b, at in zip(parts, sizes, strict=False)])
+    first = np.concatenate([b.first + at for b, at in zip(parts, np.cumsum([0, *(len(b.ids) for b in parts)]), strict=False)])
+    ids = np.concatenate([b.ids.astype(np.int32) for b in parts])
+    del parts
+    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+    seen = np.zeros(1 << BITS, np.int64)
+    for j in range(ids.shape[1]):
+        seen += np.bincount(np.unique(ids[:, j] + (row[sentence] << BITS)) & (1 << BITS) - 1, minlength=1 << BITS)
+    used = np.flatnonzero(seen)
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used))
+    ids, df = number[ids], seen[used]
     # Features of a few texts only would let the model learn texts by heart.
     live = (df >= least) & (used != 0)
     y = labels.astype(bool)
     w, bias = np.zeros(len(used)), -4.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    flat, word_sentence = ids.reshape(-1), bags.sentence
     for t in range(1, rounds + 1):
-        z = np.clip(np.add.reduceat(w[ids].sum(axis=1), bags.first) + bias, -500, 500)
+        z = np.clip(np.add.reduceat(sum(w[ids[:, j]] for j in range(ids.shape[1])), first) + bias, -500, 500)
         p = 1 / (1 + np.exp(-z))
-        clear = np.bincount(bags.row, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=bags.n)
-        pull = np.where(y, np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), -1.0)[bags.row]
-        g_sentence = pull * p / bags.n
-        g = np.bincount(flat, weights=np.repeat(g_sentence[word_sentence], ids.shape[1]), minlength=len(used)) - penalty * w
+        clear = np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)
+        pull = np.where(y, np.exp(clear) / np.maximum(-np.expm1(clear), 1e-9), -1.0)[row]
+        g_sentence = pull * p / n
+        g_word = g_sentence[sentence]
+        g = sum(np.bincount(ids[:, j], weights=g_word, minlength=len(used)) for j in range(ids.shape[1])) - penalty * w
         g = np.where(live, g, 0.0)
         gb = g_sentence.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
