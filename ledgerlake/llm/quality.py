@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, Prefix, annotate, spans, string_buffers
+from .kernels import LOWER, Prefix, annotate, spans, string_buffers, text_chunks
 from .sampling import stratified
 
 PASSAGE = 48
@@ -125,9 +125,17 @@ def forward(x: np.ndarray, rows: np.ndarray, first: np.ndarray, p: dict[str, np.
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0.01, penalty: float = 1e-3, seed: int = 5) -> tuple:
     """Adam on the documents' log-likelihood, both classes weighing alike in total."""
-    x, rows = encode(pa.array(texts, pa.large_string()))
+    xs, rs, at = [], [], 0
+    for arr in text_chunks(texts):
+        f, r = encode(arr)
+        xs.append(f)
+        rs.append(r + at)
+        at += len(arr)
+    x, rows = np.concatenate(xs), np.concatenate(rs)
+    del xs
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     n = len(texts)
     first = np.searchsorted(rows, np.arange(n))
     rng = np.random.RandomState(seed)
