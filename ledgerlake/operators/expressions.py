@@ -65,6 +65,9 @@ class Compiler:
         self.local: dict[str, Column] = {}
 
     def type_of(self, col: Column) -> T.DataType | None:
+        """The type of a column; None inside a lambda, whose variables have none yet."""
+        if self.local:
+            return None
         try:
             return self.table.df.select(col).schema[0].dataType
         except Exception:

@@ -26,13 +26,15 @@ def item_names(items: list[A.Item]) -> list[str]:
     return out
 
 
-def substituted(e, aliases: dict[str, A.Expr]):
-    """Aliases of result items replaced by what they stand for."""
+def substituted(e, aliases: dict[str, A.Expr], bound: dict | None = None):
+    """Aliases of result items replaced by what they stand for; x.p is a property of a bound variable first."""
+    if isinstance(e, A.Prop) and isinstance(e.of, A.Var) and e.of.name in (bound or {}):
+        return e
     if isinstance(e, A.Var) and e.name in aliases:
         return aliases[e.name]
     if isinstance(e, A.Expr):
-        return replace(e, **{f.name: substituted(getattr(e, f.name), aliases) for f in fields(e)})
-    return tuple(substituted(x, aliases) for x in e) if isinstance(e, tuple) else e
+        return replace(e, **{f.name: substituted(getattr(e, f.name), aliases, bound) for f in fields(e)})
+    return tuple(substituted(x, aliases, bound) for x in e) if isinstance(e, tuple) else e
 
 
 def sort_key(col: Column, o: A.Order) -> Column:
@@ -52,16 +54,16 @@ def project(table: Table, ret: A.Return, params: dict | None = None, star: list[
             raise GqlError("nothing to return")
     names = item_names(items)
     aliases = {x.alias: x.expr for x in items if x.alias and not (isinstance(x.expr, A.Var) and x.expr.name == x.alias)}
-    order = [replace(o, expr=substituted(o.expr, {k: v for k, v in aliases.items()})) for o in ret.order]
+    order = [replace(o, expr=substituted(o.expr, aliases, table.kinds)) for o in ret.order]
     exprs = [x.expr for x in items]
     grouped = bool(ret.group_by) or ret.having is not None or any(is_aggregate(x) for x in exprs) or any(is_aggregate(o.expr) for o in order)
 
     hidden = {f"_order{i}": o.expr for i, o in enumerate(order) if o.expr not in exprs}
     values = {**{f"_item{i}": e for i, e in enumerate(exprs)}, **hidden}
     if grouped:
-        keys = [substituted(k, aliases) for k in ret.group_by] if ret.group_by else [e for e in values.values() if not is_aggregate(e) and not isinstance(e, A.Lit)]
+        keys = [substituted(k, aliases, table.kinds) for k in ret.group_by] if ret.group_by else [e for e in values.values() if not is_aggregate(e) and not isinstance(e, A.Lit)]
         if ret.having is not None:
-            values["_having"] = substituted(ret.having, aliases)
+            values["_having"] = substituted(ret.having, aliases, table.kinds)
         key_names = {k: f"_key{i}" for i, k in enumerate(dict.fromkeys(keys))}
         base = table.df
         if key_names:
