@@ -121,7 +121,7 @@ ledger("paren_subpath", "MATCH ((a:Account)-[x:TxRel]->(o WHERE o.balance > 3000
 ledger(
     "path_union",
     "MATCH (a:Account {address: 'a:3'})-[:Transfer]->(b) | (a:Account {address: 'a:3'})-[:TxRel]->(b) RETURN b.id AS b",
-    "SELECT V.id AS b FROM V JOIN E ON V.id = dst WHERE src = 3 AND E.label IN ('Transfer', 'TxRel')",
+    "SELECT b FROM (SELECT DISTINCT V.id AS b, E.id AS e FROM V JOIN E ON V.id = dst WHERE src = 3 AND E.label IN ('Transfer', 'TxRel'))",
 )
 ledger("multiset_union", "MATCH (a:Account {address: 'a:3'})-[t:Transfer]->(b) |+| (a:Account {address: 'a:3'})-[t:Transfer]->(b) RETURN count(*) AS n", "SELECT 2 * count(*) AS n FROM E WHERE src = 3 AND label = 'Transfer'")
 
@@ -222,7 +222,12 @@ handoff(
 )
 handoff(
     "quantified_paren",
-    lambda e, s, t: e.gql("MATCH (a)(()-[x:Transfer WHERE x.amount > 5000]->()){1,2}(b) WHERE a.id = $s RETURN b.id AS b, count(*) AS n", {"s": s}) if False else e.gql("MATCH (a WHERE a.id = $s)-[x:Transfer WHERE x.amount > 5000]->{1,2}(b) RETURN b.id AS b, count(*) AS n", {"s": s}),
+    lambda e, s, t: e.gql("MATCH (a WHERE a.id = $s)-[:Transfer]->((x)-[y:Transfer]->(z) WHERE y.amount > 5000){1,2} RETURN count(*) AS n", {"s": s}),
+    _levels(3) + "SELECT count(*) AS n FROM w WHERE d >= 2 AND list_aggregate([(SELECT amount > 5000 FROM E q WHERE q.id = i) FOR i IN es[2:]], 'bool_and')",
+)
+handoff(
+    "quantified_where",
+    lambda e, s, t: e.gql("MATCH (a WHERE a.id = $s)-[x:Transfer WHERE x.amount > 5000]->{1,2}(b) RETURN b.id AS b, count(*) AS n", {"s": s}),
     _levels(2, " AND E.amount > 5000") + "SELECT cur AS b, count(*) AS n FROM w WHERE d >= 1 GROUP BY cur",
 )
 handoff(
@@ -256,7 +261,6 @@ handoff(
     lambda e, s, t: e.gql("MATCH (a WHERE a.id = $s)-[:Transfer]->{1,2}(b) KEEP ANY SHORTEST RETURN count(*) AS n", {"s": s}),
     _levels(2) + "SELECT count(DISTINCT cur) AS n FROM w WHERE d >= 1",
 )
-_PATH = "SELECT {text} AS path, d::INT AS length, list_sum([(SELECT amount FROM E x WHERE x.id = i) FOR i IN es])::DOUBLE AS total_weight"
 _WEIGHED = """
 w(d, s, cur, vs, es, tw) AS (
   SELECT 0, (SELECT s FROM ends), (SELECT s FROM ends), [(SELECT s FROM ends)], []::BIGINT[], 0::DOUBLE
