@@ -9,6 +9,10 @@ of least hash in them.  Equal strings have equal anchors, so all suffixes that a
 ``length`` bytes are sorted in the same task, and consecutive suffixes of one anchor
 travel together as one stretch of text.
 
+Exact copies of a smaller document go whole, by two hashes and the length of the text,
+before anything of them is sorted.  Texts travel compressed, and once: both
+joins with them read the same exchange.
+
 1. Anchors of all texts.  Those seen once can't belong to a repeated string and go.
    An anchor seen twice in one chunk of texts is known to repeat: one row tells the
    others, and the rest of that chunk's rows are dealt out at random, so a frequent
@@ -29,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,9 +125,27 @@ def repeated(batches):
         yield batch.filter(pa.array(keep)).select([2, 3, 4])
 
 
+def packed(batches):
+    """id, t, z: the text compressed."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        z = [press.compress((x.as_py() or "").encode()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["id", "t", "z"])
+
+
+def unpacked(batches, rows: int = 512):
+    """The batches with their third column as text again, some rows at a time."""
+    open_ = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            text = pa.array([open_.decompress(x.as_py()).decode() for x in batch.column(2)], pa.large_string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, *batch.columns[3:]], names=["id", "t", "text", *batch.schema.names[3:]])
+
+
 def stretches(batches, length: int):
     """Rows (key, text, id, t, lo, hi): starts lo..hi of a document with their text, or a removed run without; batches hold id, t, text, pos."""
-    for batch in batches:
+    for batch in unpacked(batches):
         for part in chunks(batch, "text"):
             data, offsets = string_buffers(part.column(2))
             h, pos, lo, hi, row = anchors(data, offsets, length)
@@ -237,10 +260,10 @@ def ranges(rows: pa.RecordBatch, lo: np.ndarray, hi: np.ndarray, of: np.ndarray,
 
 
 def kept(batches):
-    """Rows (id, n_bytes, spans, kept bytes' digest) from id, text, ranges."""
-    for batch in batches:
+    """Rows (id, n_bytes, spans, kept bytes' digest) from id, t, text, ranges."""
+    for batch in unpacked(batches):
         spans, digest, sizes = [], [], []
-        for text, own in zip(batch.column(1), batch.column(2), strict=True):
+        for text, own in zip(batch.column(2), batch.column(3), strict=True):
             raw = (text.as_py() or "").encode()
             merged: list[list[int]] = []
             for r in sorted((x["start"], x["end"]) for x in own.as_py() or ()):
@@ -259,6 +282,13 @@ def kept(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(digest)], names=["id", "n_bytes", "spans", "kept_sha256"])
 
 
+def copied(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """id, t, n (bytes) of the documents of at least ``length`` bytes whose whole text is that of a smaller document."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.xxhash64(F.lit(length), text_col).alias("t2"), F.octet_length(text_col).alias("n")).where(F.col("n") >= length)
+    first = rows.groupBy("t", "t2", "n").agg(F.min(F.struct("id")).alias("a"), F.max(F.struct("id")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).drop("b")
+    return rows.join(first, ["t", "t2", "n"]).where(~F.struct("id").eqNullSafe(F.col("a"))).select("id", "t", "n").distinct()
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: id, n_bytes, spans (removed [from, to) byte ranges, merged), kept_sha256."""
     kind = docs.schema[id_col].dataType
@@ -270,13 +300,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     seen = text.mapInArrow(lambda b: anchor_rows(b, length), T.StructType([*fields(("key", T.LongType()), ("known", T.BooleanType())), *ident, *fields(("pos", T.IntegerType()))]))
     again = seen.repartition("key").sortWithinPartitions("key").mapInArrow(repeated, T.StructType([*ident, *fields(("pos", T.IntegerType()))]))
+    copies = copied(docs, id_col, text_col, length)
     places = again.groupBy("id", "t").agg(F.collect_set("pos").alias("pos"))
     named = places.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "pos")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
-    found = text.join(named, same).select("id", "t", "text", "pos")
+    named = named.join(copies.select("id", "t"), same, "left_anti")
+    # t is declared without nulls: else one of the joins would filter it, and their exchanges would differ.
+    bodies = text.mapInArrow(packed, T.StructType([ident[0], T.StructField("t", T.LongType(), False), *fields(("z", T.BinaryType()))]))
+    found = bodies.join(named, same).select("id", "t", "z", "pos")
     pieces = found.mapInArrow(lambda b: stretches(b, length), T.StructType([*fields(("key", T.LongType()), ("s", T.BinaryType())), *ident, *fields(("lo", T.IntegerType()), ("hi", T.IntegerType()))]))
     gone = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: repeats(b, length), T.StructType([*ident, *fields(("start", T.IntegerType()), ("end", T.IntegerType()))]))
+    gone = gone.union(copies.select("id", "t", F.lit(0).alias("start"), F.col("n").alias("end")))
     by_doc = gone.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("own")).select(F.col("id").alias("_id"), F.col("t").alias("_t"), "own")
-    whole = text.join(by_doc, same, "left").select("id", "text", "own")
+    whole = bodies.join(by_doc, same, "left").select("id", "t", "z", "own")
     out = T.StructType([T.StructField("id", kind), *fields(("n_bytes", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_sha256", T.StringType()))])
     return whole.mapInArrow(kept, out).withColumnRenamed("id", id_col)
