@@ -13,9 +13,14 @@ words + k log k and not words * k; documents that still miss a coordinate are th
 2. Nodes with a common band (``rows`` coordinates alike) meet in a bucket.  Each
    member is compared with the bucket's most central member, and links give components.
 3. In buckets with members of several components, the pairs across components that were not
-   compared yet are; so no link between candidates is lost, and a large group of near
-   copies costs its size and not its square.
-4. Every comparison is exact on the documents' shingles.
+   compared yet are, so no link between candidates is lost.
+4. In a bucket of more than ``CROWD`` nodes most such pairs can't be links, and an exact count
+   says so before they meet.  Two nodes that share a strip of at most ``RARE`` crowded nodes
+   are paired by that strip, a short list.  Two that share none have at most as many strips in
+   common as either has frequent ones, and a link of n and m strips needs t / (1 + t) * (n + m).
+   Copies with many edits of their own fall under that against everyone, so a large group of near copies
+   doesn't cost its square.
+5. Every comparison is exact on the documents' shingles.
 
 Defined cases: words are those of ``kernels.WORD``, A-Z lower-cased; a text of one to
 four words is one shingle; null and empty texts and texts without a word are each alone; rows that repeat a
@@ -39,6 +44,8 @@ from .kernels import LOWER, U64, Prefix, annotate, mix, ngrams, powers, string_b
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 all bands miss with probability (1 - 0.8**5)**24 < 0.0001.
 BANDS, ROWS = 24, 5
+#: Nodes in a bucket from which on pairs are counted out before they are made; nodes that hold a strip at which those that share it are paired directly.
+CROWD, RARE = 64, 8
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _STEP = U64(0xD1B54A32D192ED03)
@@ -140,6 +147,44 @@ def element_rows(arr: pa.Array) -> dict[str, pa.Array]:
     return {"e": pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())}
 
 
+def strips(batches, rare: int = RARE):
+    """Rows (x, node): each unit strip of a node; batches hold node, e.
+
+    A strip that more than ``rare`` nodes of some rows have is said to be frequent by one row without a node instead.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            held = [np.frombuffer(x.as_py(), dtype=">u8").astype(U64).view(np.int64) for x in part.column(1)]
+            x, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            values, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
+            few = (count <= rare)[inverse.reshape(-1)]
+            often = values[count > rare]
+            nodes = part.column(0).take(pa.array(owner[few]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[few], often])), pa.concat_arrays([nodes, pa.nulls(len(often), nodes.type)])], names=["x", "node"])
+
+
+def short_lists(batches, rare: int = RARE):
+    """The nodes of each strip that at most ``rare`` of them have; batches hold x, node in order of x.  Longer lists are only counted."""
+    key, held = None, []
+
+    def listed(nodes: list) -> bool:
+        return 0 < len(nodes) <= rare and None not in nodes
+
+    for batch in batches:
+        kind, out = batch.column(1).type, []
+        for x, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if x != key:
+                if listed(held):
+                    out.append(held)
+                key, held = x, []
+            if len(held) <= rare:
+                held.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(kind))], names=["l"])
+    if listed(held):
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(kind))], names=["l"])
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two documents' sorted unit strips."""
     x, y = np.frombuffer(a, dtype=">u8").astype(U64), np.frombuffer(b, dtype=">u8").astype(U64)
@@ -160,18 +205,50 @@ def linked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ea", "eb").mapInArrow(run, both.select("a", "b").schema)
 
 
+def can_link(least: float):
+    """Whether the counts of two nodes that meet leave room for a link; counts hold in crowded buckets only."""
+    return ~F.col("crowded") | (F.least("common", "common_b") * (1 + least) + 1e-6 >= (F.col("size") + F.col("size_b")) * least)
+
+
+def candidates(meet: DataFrame, sizes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """key, node, crowded, root, size, common of the buckets that hold several components; without the nodes that no partner of theirs can be linked with."""
+    placed = meet.select("key", "node", "crowded").join(found, "node", "left").select("key", "node", "crowded", F.coalesce("root", "node").alias("root")).join(sizes, "node", "left")
+    placed = placed.where(~F.col("crowded") | (F.col("common") + 1e-6 >= F.col("size") * least))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return cut(placed.join(mixed, "key"))
+
+
+def more_leaders(meet: DataFrame, sizes: DataFrame, links: DataFrame, found: DataFrame, held: DataFrame, least: float, rounds: tuple[int, ...] = (3,)) -> tuple[DataFrame, DataFrame]:
+    """Compare the members of buckets of several components with a few more leaders each, drawn by hash; gives all links and their components.
+
+    A node that has links at all in a large group soon meets one of them, in some bucket; few are left for the comparison across components.
+    """
+    salt = 0
+    for n in rounds:
+        placed = candidates(meet, sizes, found, least)
+        drawn = [F.min(F.struct(F.xxhash64("node", "key", F.lit(salt + j)), "node", "root", "size", "common")).alias(f"l{j}") for j in range(n)]
+        salt += n
+        leaders = placed.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*(F.col(f"l{j}").dropFields("col1") for j in range(n))))).alias("l"))
+        leaders = leaders.select("key", F.col("l.node").alias("b"), F.col("l.root").alias("root_b"), F.col("l.size").alias("size_b"), F.col("l.common").alias("common_b"))
+        pairs = placed.join(leaders, "key").where((F.col("root") != F.col("root_b")) & can_link(least)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        fresh = cut(linked(pairs, held, least))
+        links = links.union(fresh)
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
+    return links, found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """Per document: id, cluster_id (the least id of its class), cluster_size (documents in it)."""
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     each = cut(annotate(known, lambda arr: sketch(arr, bands, rows), SKETCH, "_id", "_text"))
     worded = each.where("n_words > 0")
-    nodes = cut(worded.groupBy("c1", "c2").agg(F.min("_id").alias("node"), F.first("bands").alias("bands")))
+    nodes = cut(worded.groupBy("c1", "c2").agg(F.min("_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")))
 
     at = nodes.select("node", F.explode("bands").alias("key"))
     shared = at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meet = at.join(shared, "key")
     central = meet.groupBy("node").agg(F.sum("n").alias("c"))
-    meet = cut(meet.select("key", "node").join(central, "node").distinct())
+    meet = cut(meet.join(central, "node").select("key", "node", "c", (F.col("n") > CROWD).alias("crowded")).distinct())
 
     leader = meet.groupBy("key").agg(F.max(F.struct("c", "node")).getField("node").alias("b"))
     pairs = meet.join(leader, "key").where(F.col("node") != F.col("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
@@ -182,11 +259,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(linked(pairs, held, least))
 
     found = connected_components(links)
-    placed = meet.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    placed = placed.join(mixed, "key")
-    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    across = placed.select("key", F.col("node").alias("a"), "root").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
+    crowded = meet.where("crowded").select("node").distinct()
+    kind = held.schema["node"].dataType
+    each_strip = held.join(crowded, "node", "left_semi").mapInArrow(strips, T.StructType([T.StructField("x", T.LongType()), T.StructField("node", kind)]))
+    lists = cut(each_strip.repartition("x").sortWithinPartitions("x").mapInArrow(short_lists, T.StructType([T.StructField("l", T.ArrayType(kind))])))
+    own = lists.select(F.explode("l").alias("node")).groupBy("node").agg(F.count("*").alias("own"))
+    few = lists.where(F.size("l") > 1).select(F.array_sort("l").alias("l"))
+    few = few.select(F.explode(F.flatten(F.transform("l", lambda p: F.transform(F.filter("l", lambda q: q > p), lambda q: F.struct(p.alias("a"), q.alias("b")))))).alias("p")).select("p.*").distinct()
+    size = F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).cast("long")
+    sizes = nodes.select("node", size.alias("size")).groupBy("node").agg(F.max("size").alias("size")).join(crowded, "node", "left_semi").join(own, "node", "left")
+    sizes = sizes.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    links, found = more_leaders(meet, sizes, links, found, held, least)
+    placed = candidates(meet, sizes, found, least)
+    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("common").alias("common_b"))
+    across = placed.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & can_link(least)).select(F.col("node").alias("a"), "b")
+    of = found.select(F.col("node").alias("a"), F.col("root").alias("ra")), found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    few = few.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    across = across.union(few).distinct()
     more = cut(linked(across.join(pairs, ["a", "b"], "left_anti"), held, least))
 
     # Of a doc_id with several texts each text is a node of its own name or the name of a copy; its documents tie them.
