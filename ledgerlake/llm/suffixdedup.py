@@ -159,10 +159,11 @@ def stretches(batches, length: int):
             raw = data.tobytes()
             text = [raw[a : b + length] for a, b in zip(lo, hi, strict=True)]
             order = rank_rows(part.column(0), part.column(1))
-            by = np.lexsort((lo, order[row]))
+            base = offsets[row]
+            by = np.lexsort((lo - base, order[row]))
             seen: dict[tuple[int, bytes], tuple[int, int]] = {}
             for i in by:
-                place = int(order[row[i]]), int(lo[i])
+                place = int(order[row[i]]), int(lo[i] - base[i])
                 earliest = seen.setdefault((int(pos[i] - lo[i]), text[i]), place)
                 # At the same place again it is a repeated row, which keeps what the first keeps.
                 if earliest != place:
@@ -170,7 +171,6 @@ def stretches(batches, length: int):
             gone = np.array([x is None for x in text], bool)
             key = np.where(gone, mix(h + pos.astype(U64)), h)
             rows = pa.array(row)
-            base = offsets[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(text, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
                 names=["key", "s", "id", "t", "lo", "hi"],

@@ -194,6 +194,17 @@ def test_suffix_dedup_matches_brute_force(spark, texts):
     assert dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_repeated_rows_in_one_partition(spark):
+    from ledgerlake.llm.suffixdedup import dedup_substrings
+
+    rng = random.Random(10)
+    a, b = words(rng, 120), words(rng, 60)
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b + " " + a[100:400]), (2, b + " " + a[100:400])], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, [tuple(x) for x in r.spans]) for r in dedup_substrings(docs).collect())
+    gone = [(len(b) + 1, len(b) + 301)]
+    assert got == [(1, []), (1, []), (2, gone), (2, gone)]
+
+
 def test_suffix_sort():
     from ledgerlake.llm.suffixes import sort_suffixes
 
