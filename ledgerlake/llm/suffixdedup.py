@@ -18,7 +18,9 @@ joins with them read the same exchange.
    others, and the rest of that chunk's rows are dealt out at random, so a frequent
    passage makes no large group.
 2. Stretches of the anchors that are left.  Stretches that are identical within a chunk are removed at once
-   but for the first; the others are dealt by anchor.
+   but for the first; the others are dealt by anchor.  An anchor with very many stretches (counted on a share of
+   the documents, which only decides how they are dealt) is dealt suffix by suffix, by a hash of the
+   ``length`` bytes, again without those that are identical within a chunk.
 3. Each task sorts the suffixes of its stretches (``suffixes.sort_suffixes``), and in each
    class of equal strings all but the first start are repeats.
 4. Repeated starts become byte ranges, merged by document.
@@ -44,6 +46,10 @@ from .suffixes import sort_suffixes
 LENGTH, GRAM = 100, 20
 #: Bytes of stretches that a task sorts at a time; a larger anchor is sorted whole.
 SLICE = 1 << 20
+#: Stretches of an anchor from which on it is dealt suffix by suffix, and what of them a sample should hold at least.
+MOST, SEEN = 1 << 13, 1 << 9
+#: Suffixes in one batch.
+PORTION = 1 << 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -106,7 +112,7 @@ def repeated(batches):
     kept_key, held = None, None
     for batch in batches:
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            batch = pa.concat_batches([held, batch])
             held = None
         if not batch.num_rows:
             continue
@@ -125,6 +131,22 @@ def repeated(batches):
         yield batch.filter(pa.array(keep)).select([2, 3, 4])
 
 
+def anchor_counts(batches, length: int):
+    """Rows (key, n): anchors and their stretches in a chunk; batches hold text."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            key, n = np.unique(anchors(*string_buffers(part.column(0)), length)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def hot_anchors(text: DataFrame, length: int, most: int = MOST) -> np.ndarray:
+    """Hashes, in order, of the anchors with about ``most`` stretches or more, by a share of the documents; text holds id, t, text."""
+    share = max(1, most // SEEN)
+    part = text.where(F.pmod(F.xxhash64("id", "t"), F.lit(share)) == 0).select("text")
+    counts = part.mapInArrow(lambda b: anchor_counts(b, length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r[0] for r in counts.where(F.col("n") >= most // share).select("key").collect()], np.int64).view(U64))
+
+
 def packed(batches):
     """id, t, z: the text compressed."""
     press = zstandard.ZstdCompressor(level=1)
@@ -143,8 +165,18 @@ def unpacked(batches, rows: int = 512):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, *batch.columns[3:]], names=["id", "t", "text", *batch.schema.names[3:]])
 
 
-def stretches(batches, length: int):
+def stretches(batches, length: int, hot: np.ndarray):
     """Rows (key, text, id, t, lo, hi): starts lo..hi of a document with their text, or a removed run without; batches hold id, t, text, pos."""
+
+    def rows(part: pa.RecordBatch, offsets: np.ndarray, key: np.ndarray, text: list[bytes | None], lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        gone = np.array([x is None for x in text], bool)
+        key = np.where(gone, mix(key + lo.astype(U64)), key)
+        at, base = pa.array(row), offsets[row]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(text, pa.binary()), part.column(0).take(at), part.column(1).take(at), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
+            names=["key", "s", "id", "t", "lo", "hi"],
+        )
+
     for batch in unpacked(batches):
         for part in chunks(batch, "text"):
             data, offsets = string_buffers(part.column(2))
@@ -168,13 +200,36 @@ def stretches(batches, length: int):
                 # At the same place again it is a repeated row, which keeps what the first keeps.
                 if earliest != place:
                     text[i] = None
-            gone = np.array([x is None for x in text], bool)
-            key = np.where(gone, mix(h + pos.astype(U64)), h)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(text, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                names=["key", "s", "id", "t", "lo", "hi"],
-            )
+            split = np.isin(h, hot) & np.array([x is not None for x in text], bool)
+            plain = np.flatnonzero(~split)
+            yield rows(part, offsets, h[plain], [text[i] for i in plain], lo[plain], hi[plain], row[plain])
+            if not split.any():
+                continue
+            first: dict[bytes, tuple[int, int]] = {}
+            prefix = Prefix(data)
+            # In order of place, so that the first of each kind is the earliest.
+            for s, r in portions(*(x[by[split[by]]] for x in (lo, hi, row))):
+                suffix: list[bytes | None] = [raw[a : a + length] for a in s.tolist()]
+                places = zip(order[r].tolist(), (s - offsets[r]).tolist(), strict=True)
+                if len(first) > 4 * PORTION:
+                    # Memory is bounded; what is sent twice is compared again where it is sorted.
+                    first.clear()
+                for i, place in enumerate(places):
+                    if first.setdefault(suffix[i], place) != place:
+                        suffix[i] = None
+                yield rows(part, offsets, mix(prefix.of(s, s + length)), suffix, s, s, r)
+
+
+def portions(lo: np.ndarray, hi: np.ndarray, row: np.ndarray, size: int = PORTION):
+    """(start, row) of every start of the stretches, about ``size`` at a time."""
+    ends = np.cumsum(hi - lo + 1)
+    at = 0
+    while at < len(lo):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)), at + 1)
+        n = hi[at:to] - lo[at:to] + 1
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(lo[at:to], n) + nth, np.repeat(row[at:to], n)
+        at = to
 
 
 def rank_rows(ids: pa.Array, t: pa.Array) -> np.ndarray:
@@ -196,17 +251,28 @@ def rank_rows(ids: pa.Array, t: pa.Array) -> np.ndarray:
     return out
 
 
+def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with 64-bit offsets: only so do columns of any size combine to one chunk."""
+    large = {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}
+    return batch.cast(pa.schema([f.with_type(large.get(f.type, f.type)) for f in batch.schema]))
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    (out,) = pa.Table.from_batches([wide(b) for b in batches]).combine_chunks().to_batches()
+    return out
+
+
 def repeats(batches, length: int, size: int = SLICE):
     """Removed ranges (id, t, start, end) from stretches sorted by key."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in map(wide, batches):
         direct = batch.filter(batch.column(1).is_null())
         if direct.num_rows:
             yield ranges(direct, np.asarray(direct.column(4)), np.asarray(direct.column(5)), np.arange(direct.num_rows), length)
         batch = batch.filter(batch.column(1).is_valid())
         start = 0
         while start < batch.num_rows:
-            off = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset + start : batch.column(1).offset + batch.num_rows + 1]
+            off = np.frombuffer(batch.column(1).buffers()[1], np.int64)[batch.column(1).offset + start : batch.column(1).offset + batch.num_rows + 1]
             stop = start + max(int(np.searchsorted(off, off[0] + size)), 1)
             stop = min(stop, batch.num_rows)
             held.append(batch.slice(start, stop - start))
@@ -217,20 +283,22 @@ def repeats(batches, length: int, size: int = SLICE):
                 if done is not None:
                     yield sort_slice(done, length)
     if held:
-        yield sort_slice(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+        yield sort_slice(joined(held), length)
 
 
 def split_last_key(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
     """(rows of all keys but the last, the last key's rows): the last one may go on in the next batch."""
-    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    if held[0].column(0)[0] == held[-1].column(0)[-1]:
+        return None, held
+    whole = joined(held)
     key = whole.column(0).to_numpy()
-    cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-    return (whole.slice(0, cut) if cut else None), [whole.slice(cut)]
+    cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+    return whole.slice(0, cut), [whole.slice(cut)]
 
 
 def sort_slice(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
     text = rows.column(1)
-    off = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
     count = np.diff(off) - length + 1
@@ -256,7 +324,12 @@ def sort_slice(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 def ranges(rows: pa.RecordBatch, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, length: int) -> pa.RecordBatch:
     pick = pa.array(of, pa.int64())
-    return pa.RecordBatch.from_arrays([rows.column(2).take(pick), rows.column(3).take(pick), pa.array(lo.astype(np.int32)), pa.array((hi + length).astype(np.int32))], names=["id", "t", "start", "end"])
+    ids = rows.column(2).take(pick)
+    if pa.types.is_large_string(ids.type):
+        ids = ids.cast(pa.string())
+    elif pa.types.is_large_binary(ids.type):
+        ids = ids.cast(pa.binary())
+    return pa.RecordBatch.from_arrays([ids, rows.column(3).take(pick), pa.array(lo.astype(np.int32)), pa.array((hi + length).astype(np.int32))], names=["id", "t", "start", "end"])
 
 
 def kept(batches):
@@ -289,8 +362,11 @@ def copied(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
     return rows.join(first, ["t", "t2", "n"]).where(~F.struct("id").eqNullSafe(F.col("a"))).select("id", "t", "n").distinct()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document: id, n_bytes, spans (removed [from, to) byte ranges, merged), kept_sha256."""
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """Per document: id, n_bytes, spans (removed [from, to) byte ranges, merged), kept_sha256.
+
+    most: stretches of an anchor from which on it is dealt suffix by suffix; the result is the same with any.
+    """
     kind = docs.schema[id_col].dataType
     ident = [T.StructField("id", kind), T.StructField("t", T.LongType())]
 
@@ -308,7 +384,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # t is declared without nulls: else one of the joins would filter it, and their exchanges would differ.
     bodies = text.mapInArrow(packed, T.StructType([ident[0], T.StructField("t", T.LongType(), False), *fields(("z", T.BinaryType()))]))
     found = bodies.join(named, same).select("id", "t", "z", "pos")
-    pieces = found.mapInArrow(lambda b: stretches(b, length), T.StructType([*fields(("key", T.LongType()), ("s", T.BinaryType())), *ident, *fields(("lo", T.IntegerType()), ("hi", T.IntegerType()))]))
+    hot = hot_anchors(text, length, most)
+    pieces = found.mapInArrow(lambda b: stretches(b, length, hot), T.StructType([*fields(("key", T.LongType()), ("s", T.BinaryType())), *ident, *fields(("lo", T.IntegerType()), ("hi", T.IntegerType()))]))
     gone = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: repeats(b, length), T.StructType([*ident, *fields(("start", T.IntegerType()), ("end", T.IntegerType()))]))
     gone = gone.union(copies.select("id", "t", F.lit(0).alias("start"), F.col("n").alias("end")))
     by_doc = gone.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("own")).select(F.col("id").alias("_id"), F.col("t").alias("_t"), "own")

@@ -205,6 +205,52 @@ def test_suffix_dedup_repeated_rows_in_one_partition(spark):
     assert got == [(1, []), (1, []), (2, gone), (2, gone)]
 
 
+def test_suffix_dedup_deals_hot_anchors_by_suffix(spark):
+    import pyarrow as pa
+
+    from ledgerlake.llm import suffixdedup as sd
+
+    rng = random.Random(11)
+    shared = words(rng, 60)
+    texts = [words(rng, 40) + " " + shared + " " + words(rng, 10) for _ in range(300)]
+    docs = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(7)
+    plain, split = (sorted(map(str, sd.dedup_substrings(docs, most=most).collect())) for most in (1 << 20, 40))
+    assert plain == split and sum("spans=[[" in x for x in split) == 299
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text")
+    hot = sd.hot_anchors(rows, 100, 40)
+    data = sd.string_buffers(pa.array(texts))
+    assert len(hot) and set(hot.tolist()) <= {h for h, n in Counter(sd.anchors(*data)[0].tolist()).items() if n >= 40}
+    seen, most = Counter(), Counter()
+    for i, t in enumerate(texts):
+        h, pos, _, _, _ = sd.anchors(*sd.string_buffers(pa.array([t])))
+        own = pa.record_batch({"id": pa.array([i]), "t": pa.array([0]), "text": pa.array([t])})
+        (z,) = sd.packed([own])
+        z = pa.RecordBatch.from_arrays([*z.columns, pa.array([pos.tolist()], pa.list_(pa.int32()))], names=["id", "t", "z", "pos"])
+        for keys, held in ((seen, np.zeros(0, np.uint64)), (most, hot)):
+            for b in sd.stretches([z], 100, held):
+                keys.update({(k, s) for k, s in zip(b["key"].to_pylist(), b["s"].to_pylist(), strict=True)})
+
+    def kinds(keys):
+        """The most different texts that share a key."""
+        return max(Counter(k for k, _ in keys).values())
+
+    assert kinds(seen) >= 200 and kinds(most) < 40
+
+
+def test_suffix_dedup_keeps_all_rows_over_2_gb():
+    import pyarrow as pa
+
+    from ledgerlake.llm.suffixdedup import split_last_key
+
+    raw = pa.py_buffer(np.zeros(1_100_000_000, np.uint8))
+    held = []
+    for k in (1, 2):
+        s = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, 1_100_000_000], np.int32)), raw])
+        held.append(pa.record_batch({"key": pa.array([k]), "s": s, "id": pa.array([k]), "t": pa.array([k]), "lo": pa.array([0]), "hi": pa.array([0])}))
+    done, rest = split_last_key(held)
+    assert done["key"].to_pylist() == [1] and [b["key"].to_pylist() for b in rest] == [[2]]
+
+
 def test_suffix_sort():
     from ledgerlake.llm.suffixes import sort_suffixes
 
