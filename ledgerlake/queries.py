@@ -190,6 +190,29 @@ for _name, _op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("ex
 ledger("otherwise_q", f"MATCH (a:Nothing) RETURN a.id AS k OTHERWISE {_B}", _SB)
 ledger("otherwise_first", f"{_A} OTHERWISE {_B}", _SA)
 
+# -- the same operators over whole tables -------------------------------------
+ledger(
+    "different_edges_whole",
+    "MATCH DIFFERENT EDGES (a:Account)-[t:Transfer]->(c)<-[u:Transfer]-(b:Account) RETURN count(*) AS n",
+    "SELECT (sum(n * n) - sum(same))::BIGINT AS n FROM (SELECT sum(m) AS n, sum(m * m) AS same FROM (SELECT dst, id, count(*) AS m FROM E WHERE label = 'Transfer' GROUP BY dst, id) GROUP BY dst)",
+)
+ledger(
+    "expand_any_whole",
+    "MATCH (a)-[t:Transfer]-(b) RETURN a.id AS a, count(*) AS n, sum(t.id) AS s, min(b.id) AS lo",
+    "SELECT a, count(*) AS n, sum(t)::BIGINT AS s, min(b) AS lo FROM (SELECT src AS a, dst AS b, id AS t FROM E WHERE label = 'Transfer' UNION ALL SELECT dst, src, id FROM E WHERE label = 'Transfer') GROUP BY a",
+)
+ledger("multiset_union_whole", "MATCH (a:Account)-[t:Transfer]->(b) |+| (a:Account)-[t:Transfer]->(b) RETURN count(*) AS n", "SELECT 2 * count(*) AS n FROM E WHERE label = 'Transfer'")
+ledger("return_vertex_whole", "MATCH (a:Contract) RETURN a.id AS id, label(a) AS l, a.nothing IS NULL AS missing", "SELECT id, label AS l, true AS missing FROM V WHERE label = 'Contract'")
+ledger("order_nulls_whole", "MATCH (a) RETURN a.id AS id, a.name AS name ORDER BY name NULLS FIRST, id DESC LIMIT 12", "SELECT id, name FROM V ORDER BY name NULLS FIRST, id DESC LIMIT 12")
+_WA = "MATCH (a:Account)-[t:TxRel]->(o) RETURN a.id AS k"
+_WB = "MATCH (a:Account)-[t:Transfer]->(c) WHERE t.amount > 3000000 RETURN a.id AS k"
+_SWA = "SELECT src AS k FROM E WHERE label = 'TxRel'"
+_SWB = "SELECT src AS k FROM E WHERE label = 'Transfer' AND amount > 3000000"
+for _name, _op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("except_q", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("intersect_q", "INTERSECT"), ("intersect_all", "INTERSECT ALL")):
+    ledger(f"{_name}_whole", f"{_WA} {_op} {_WB}", f"{_SWA} {_op} {_SWB}")
+ledger("otherwise_q_whole", f"MATCH (a:Nothing) RETURN a.id AS k OTHERWISE {_WB}", _SWB)
+ledger("otherwise_first_whole", f"{_WA} OTHERWISE {_WB}", _SWA)
+
 # -- variable length and search -----------------------------------------------
 _WALK = """
 w(d, s, cur, vs, es) AS (

@@ -40,5 +40,16 @@ def test_query(spark, con, name):
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns)
 
 
+WHOLE = [
+    "different_edges", "expand_any", "union_all", "union_distinct", "except_q", "except_all", "intersect_q", "intersect_all", "otherwise_q", "otherwise_first", "return_vertex", "order_nulls", "multiset_union",
+]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_query_over_whole_tables(spark, con, name):
+    test_query(spark, con, f"{name}_whole")
+    assert not any(x in Q.SQL[f"{name}_whole"].removeprefix(f"WITH RECURSIVE {Q.LEDGER}") for x in ("id <", "src <", "src =", "id >"))
+
+
 def test_every_sql_has_a_query():
     assert set(Q.SQL) <= set(Q.QUERIES)
