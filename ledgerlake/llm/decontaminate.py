@@ -11,14 +11,12 @@ Items shorter than ``window`` are one window of their own length; for each of th
 at most ``window - 1`` such lengths every gram of that length is a fingerprint.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text.  A block's
-fingerprints are broadcast, so what is broadcast has a fixed bound however large
-the benchmark is; beyond one block the per-block findings of a document are
-merged by its id.
+fingerprints are one broadcast, and all blocks are applied to each row in one map,
+so each Python worker holds the fingerprints of the whole benchmark.
 
 Defined cases: null or empty text has no words (0, 0, no items, clean); repeated
 items count once per item_id; an item_id of null counts as the item ""; rows that
-repeat a doc_id are judged each on its own with one block, and are merged into
-one row (the union of hits over equal ids) with several.
+repeat a doc_id or have none are judged each on its own.
 """
 
 from __future__ import annotations
@@ -127,22 +125,29 @@ class Block:
                     found.setdefault(int(row[i]), set()).update(int(owner[m]) for m in same)
         return row, n, np.cumsum(cover[:-1]) > 0, found
 
-    def annotate(self, arr: pa.Array) -> dict[str, pa.Array]:
-        row, n, hit, found = self.find(arr)
-        n_words = np.bincount(row, minlength=n)
-        n_hit = np.bincount(row[hit], minlength=n)
-        first = np.concatenate([[0], np.cumsum(n_words)])
-        spans: list[list[list[int]]] = [[] for _ in range(n)]
-        for r in found:
-            flags = np.concatenate([[False], hit[first[r] : first[r + 1]], [False]])
-            edges = np.flatnonzero(flags[1:] != flags[:-1])
-            spans[r] = edges.reshape(-1, 2).tolist()
-        return {
-            "n_words": pa.array(n_words, pa.int64()),
-            "n_hit": pa.array(n_hit, pa.int64()),
-            "item_ids": pa.array([sorted(self.ids[x] for x in found.get(r, ())) for r in range(n)], pa.list_(pa.string())),
-            "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-        }
+
+def judged(arr: pa.Array, held: list[Block]) -> dict[str, pa.Array]:
+    """The columns of each text, by all blocks together."""
+    hit, names = None, {}
+    for b in held:
+        row, n, own, found = b.find(arr)
+        hit = own if hit is None else hit | own
+        for r, items in found.items():
+            names.setdefault(r, set()).update(b.ids[x] for x in items)
+    n_words = np.bincount(row, minlength=n)
+    n_hit = np.bincount(row[hit], minlength=n)
+    first = np.concatenate([[0], np.cumsum(n_words)])
+    spans: list[list[list[int]]] = [[] for _ in range(n)]
+    for r in names:
+        flags = np.concatenate([[False], hit[first[r] : first[r + 1]], [False]])
+        edges = np.flatnonzero(flags[1:] != flags[:-1])
+        spans[r] = edges.reshape(-1, 2).tolist()
+    return {
+        "n_words": pa.array(n_words, pa.int64()),
+        "n_hit": pa.array(n_hit, pa.int64()),
+        "item_ids": pa.array([sorted(names.get(r, ())) for r in range(n)], pa.list_(pa.string())),
+        "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+    }
 
 
 def member(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -182,25 +187,9 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside a shared window), item_ids, spans ([from, to) word positions)."""
-    spark, parts = docs.sparkSession, []
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        block = spark.sparkContext.broadcast(Block(items, window, k))
-        parts.append(annotate(docs, lambda arr, b=block: b.value.annotate(arr), COLUMNS, id_col, text_col))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    words = both.select(id_col, "n_words", "item_ids", F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1)).alias("at"))
-    merged = words.groupBy(id_col).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_list("at")))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    at = F.array_sort("at")
-    starts = F.filter(at, lambda x: ~F.array_contains(F.col("at"), x - 1))
-    ends = F.filter(at, lambda x: ~F.array_contains(F.col("at"), x + 1))
-    return merged.select(id_col, "n_words", F.size("at").cast("long").alias("n_hit"), "item_ids", F.zip_with(starts, ends, lambda a, b: F.array(a, b + 1)).alias("spans"))
+    spark = docs.sparkSession
+    held = [spark.sparkContext.broadcast(Block(items, window, k)) for items in blocks(benchmark, item_col, item_text_col, block_bytes)]
+    return annotate(docs, lambda arr: judged(arr, [b.value for b in held]), COLUMNS, id_col, text_col)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -100,6 +100,17 @@ def test_decontamination_matches_brute_force(spark, texts, block_bytes):
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_judges_each_row_on_its_own_with_several_blocks(spark):
+    from ledgerlake.llm.decontaminate import decontaminate
+
+    rng = random.Random(12)
+    a, b, c = (words(rng, 20) for _ in range(3))
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, c), (None, a), (None, c), (2, a + " " + b)], "doc_id long, text string").coalesce(1)
+    one, two = (sorted(map(str, decontaminate(docs, bench, block_bytes=size).collect())) for size in (1 << 20, 10))
+    assert len(one) == 6 and one == two
+
+
 def test_mixing(spark, texts):
     from ledgerlake.llm.mixing import apportion, mix_sources, targets
 
