@@ -67,9 +67,9 @@ def absolute(link: Column, url: Column) -> Column:
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """a, b: nodes of pages and of what they name as canonical or redirect to."""
     url = F.col(url_col)
-    found = pages.where(url.isNotNull() & F.col(html_col).isNotNull()).select(
-        node(url).alias("a"), F.explode(F.array(*(absolute(F.regexp_extract(html_col, x, 1), url) for x in (_CANONICAL, _REFRESH)))).alias("_to")
-    )
+    every = F.concat(*(F.regexp_extract_all(html_col, F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)))
+    found = pages.where(url.isNotNull() & F.col(html_col).isNotNull()).select(url.alias("_url"), F.explode(every).alias("_link"))
+    found = found.select(node(F.col("_url")).alias("a"), absolute(F.col("_link"), F.col("_url")).alias("_to"))
     return found.where(F.col("_to").isNotNull()).select("a", node(F.col("_to")).alias("b"))
 
 

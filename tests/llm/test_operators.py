@@ -165,6 +165,20 @@ def test_url_filter_components(spark):
     assert filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_takes_all_links_of_a_page(spark):
+    from ledgerlake.llm.urlfilter import filter_urls
+
+    canonical = '<link rel="canonical" href="http://{}/">'
+    refresh = '<meta http-equiv="refresh" content="0; url=http://{}/">'
+    pages = [
+        (1, "http://a.org/", canonical.format("x.org") + canonical.format("bad.net")),
+        (2, "http://b.org/", refresh.format("y.org") + refresh.format("bad.net")),
+        (3, "http://c.org/", canonical.format("z.org")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in filter_urls(df, [("block", "net", "/")]).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_components_of_long_chain_and_hub(spark):
     from ledgerlake.llm.components import connected_components
 
