@@ -58,8 +58,8 @@ class Bags:
             # A word no longer than the stem has none; its place goes to feature 0, which has no weight.
             ids.append(np.where(ends - starts > k, (prefix.of(starts, np.minimum(starts + k, ends)) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> top, np.uint64(0)))
         self.ids = np.stack(ids, axis=1).astype(np.int64) if len(starts) else np.zeros((0, 1 + len(STEMS)), np.int64)
-        # A word said again and again counts once.
-        self.ids[1:][self.ids[1:, 0] == self.ids[:-1, 0]] = 0
+        # A word said again and again in a row counts once.
+        self.ids[1:][(self.ids[1:, 0] == self.ids[:-1, 0]) & (row[1:] == row[:-1])] = 0
         breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])[starts] if len(starts) else np.zeros(0, np.int64)
         new = np.ones(len(starts), bool)
         new[1:] = (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])

@@ -420,6 +420,16 @@ def test_toxicity_locates_sentences(spark):
     assert {r.score for r in score(docs, fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_of_a_row_does_not_depend_on_its_neighbour():
+    import pyarrow as pa
+
+    from ledgerlake.llm.toxicity import Bags
+
+    one = Bags(pa.array(["bad"])).ids
+    assert (Bags(pa.array(["bad", "bad", "bad"])).ids == one).all()
+    assert (Bags(pa.array(["so bad", "bad bad"])).ids[[1, 2]] == one).all() and not Bags(pa.array(["bad bad"])).ids[1].any()
+
+
 def test_quality_held_out(spark):
     from ledgerlake.llm.quality import fit, score
 
