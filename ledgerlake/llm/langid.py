@@ -155,7 +155,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return annotate(docs, lambda arr: shared.value.annotate(arr), COLUMNS, id_col, text_col)
 
 
-def identified_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a learned language: those without a letter go."""
+def identified_rows(docs: DataFrame, model: Model, text_col: str = "text", ambiguous: bool = True) -> DataFrame:
+    """The rows of ``docs`` in a learned language: those without a letter go, and without ``ambiguous`` those of ambiguous prediction, too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda arr: shared.value.predict(arr)["which"] >= 0, text_col)
+
+    def sure(arr: pa.Array) -> np.ndarray:
+        found = shared.value.predict(arr)
+        return (found["which"] >= 0) & (~found["ambiguous"] | ambiguous)
+
+    return keep_rows(docs, sure, text_col)
