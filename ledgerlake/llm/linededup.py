@@ -37,8 +37,8 @@ def windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -
     return rows.where(~blank).select("_id", "_t", "_pos", F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(window), *parts).alias("_h2"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with text_col replaced by the kept lines, and n_lines, n_removed, n_spans (of removed lines) under ``_dedup``."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, stats_col: str = "_dedup") -> DataFrame:
+    """The rows of ``docs`` with text_col replaced by the kept lines, and n_lines, n_removed, n_spans (of removed lines) under ``stats_col``."""
     rows = windows(docs, id_col, text_col, window)
     at = F.struct("_id", "_t", "_pos")
     first = rows.groupBy("_h1", "_h2").agg(F.min(at).alias("_first"), F.max(at).alias("_last")).where(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
@@ -63,6 +63,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n.cast("long").alias("n_lines"),
         F.when(F.col("_tail").isNull(), 0).otherwise(n - n_kept).cast("long").alias("n_removed"),
         F.coalesce("_spans", F.lit(0)).cast("long").alias("n_spans"),
-    ).alias("_dedup")
+    ).alias(stats_col)
     text = F.when(F.col("_tail").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.array_join(kept, "\n")).alias(text_col)
     return joined.select(*(text if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names), stats)

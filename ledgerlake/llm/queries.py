@@ -146,7 +146,8 @@ def _judge() -> str:
     return f"CASE {whens} END"
 
 
-OP5_SQL = f"""
+def url_sql(more_links: str = "") -> str:
+    return f"""
 WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{h}{p}', '{v}')" for v, h, p in URL_RULES)}),
 p AS (SELECT *, {_judge()} AS rule FROM (SELECT page_id, url, html, {_parse("url")} FROM pages)),
 tags AS (
@@ -158,7 +159,7 @@ tags AS (
 links AS (
   SELECT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN ':' || link WHEN starts_with(link, '/') THEN '://' || host || link
                    ELSE '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS b
-  FROM (SELECT url, host, path, replace(link, '&amp;', '&') AS link FROM tags WHERE link <> '')),
+  FROM (SELECT url, host, path, replace(link, '&amp;', '&') AS link FROM tags WHERE link <> ''){more_links}),
 nodes AS (
   SELECT url, CASE WHEN contains(url, '://') THEN '://' || host || path || regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) ELSE url END AS node, {_judge()} AS rule
   FROM (SELECT url, {_parse("url")} FROM (SELECT url FROM pages UNION SELECT b FROM links) WHERE url IS NOT NULL)),
@@ -172,6 +173,53 @@ FROM p LEFT JOIN rules USING (rule) LEFT JOIN (SELECT DISTINCT url, node FROM no
 """
 
 
+OP5_SQL = url_sql()
+
+
+def redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites that moved: each page redirects to the first page whose host begins with the same label, whatever follows it.
+
+    So the components, and not the rules alone, decide on many pages.
+    """
+    from .urlfilter import filter_urls, host
+
+    pages = table(spark, sf_dir, "pages")
+    site = F.split_part(host(F.col("url")), F.lit("."), F.lit(1))
+    first = pages.where("url IS NOT NULL").groupBy(site.alias("s")).agg(F.min(F.struct("page_id", "url")).getField("url").alias("to_url"))
+    moved = pages.select(F.col("url").alias("from_url"), site.alias("s")).join(first, "s").select("from_url", "to_url")
+    return filter_urls(pages, URL_RULES, moved)
+
+
+REDIRECT_SQL = url_sql("""
+  UNION ALL SELECT url, first(url) OVER (PARTITION BY split_part(host, '.', 1) ORDER BY page_id, url) FROM p WHERE url IS NOT NULL""")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix aims at: sizes and targets, and whether each source's words taken are within a hundredth and a block of its target."""
+    from pyspark.sql import Window
+
+    from .mixing import mix_sources
+
+    found = mix_sources(table(spark, sf_dir, "documents"))
+    of = Window.partitionBy("source")
+    near = F.abs(F.sum("taken").over(of) - F.col("target")) <= 0.01 * F.col("target") + 64
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("bounded"), near.alias("near_target"))
+
+
+MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+level(i, u) AS (
+  SELECT 0, 0::DOUBLE
+  UNION ALL SELECT i + 1, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (w * u > 3 * source_size), 0)) / sum(w) FILTER (w * u <= 3 * source_size) FROM s)
+  FROM level WHERE i < 40 AND u IS NOT NULL)
+SELECT doc_id, size, source_size, round(least(w * (SELECT max(u) FROM level), 3 * source_size), 3) AS target, true AS bounded, true AS near_target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixdedup import dedup_substrings
 
@@ -209,5 +257,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "redirect_equivalence": redirect_equivalence,
+    "mix_targets": mix_targets,
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_topk": OP7_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_topk": OP7_SQL, "redirect_equivalence": REDIRECT_SQL, "mix_targets": MIX_SQL}
