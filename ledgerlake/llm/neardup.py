@@ -1,10 +1,10 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
 A document is a weighted set: its 5-word shingles with their numbers of occurrences.
-An element of weight w owns the strip [0, w) of the (weight, rank) plane, and every
-unit cell of the plane holds a Poisson number of darts that depends on the element
+An element of weight w, any positive number, owns the region [0, w) of the (weight, rank) plane, and every
+unit cell of the plane holds a Poisson number of darts, each at a place of its own, that depend on the element
 and the cell alone.  A signature coordinate is the dart of least rank among those
-that fall into the document's strips and carry that coordinate's number, so two documents
+that fall into the document's regions and carry that coordinate's number, so two documents
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 Only ranks up to about k ln k / total weight are thrown, which makes a signature cost
 words + k log k and not words * k; documents that still miss a coordinate are thrown on.
@@ -51,8 +51,8 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _STEP = U64(0xD1B54A32D192ED03)
 
 
-def elements(arr: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit strips: hash of shingle and occurrence, sorted in each row; row of each; two hashes of each row's words; words of each row)."""
+def weighted(arr: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each shingle of each row, sorted in each row; its number of occurrences; row of each; two hashes of each row's words; words of each row)."""
     data, offsets = string_buffers(arr)
     data, n = LOWER[data], len(offsets) - 1
     starts, ends, row = word_spans(data, offsets)
@@ -75,17 +75,39 @@ def elements(arr: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
     run = np.flatnonzero(new)
-    g = mix(g + (np.arange(len(g)) - run[np.cumsum(new) - 1]).astype(U64) * _STEP)
-    order = np.lexsort((g, r))
-    return g[order], r[order], whole, count
+    return g[run], np.diff(np.append(run, len(g))), r[run], whole, count
+
 
+def columns(g: np.ndarray, weight: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit columns [c, c + 1) of the elements' regions that their weights reach into: (hash, row, how much of the column is inside)."""
+    n = np.ceil(weight).astype(np.int64)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(g, n) + nth.astype(U64) * _STEP), np.repeat(row, n), np.minimum(np.repeat(weight, n) - nth, 1.0)
+
+
+def elements(arr: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit strips: hash of shingle and occurrence, sorted in each row; row of each; two hashes of each row's words; words of each row)."""
+    g, weight, row, whole, count = weighted(arr, shingle)
+    u, r, _ = columns(g, weight, row)
+    order = np.lexsort((u, r))
+    return u[order], r[order], whole, count
 
-def darts(u: np.ndarray, row: np.ndarray, n: int, k: int) -> np.ndarray:
-    """[n, k] signatures of the rows that have elements; other rows are 0."""
-    weight = np.bincount(row, minlength=n)
+
+def darts(u: np.ndarray, row: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """[n, k] signatures of the rows that have elements; other rows are 0.
+
+    weight: of each element, any positive number (1 if None).  An element's region is [0, weight) of the weight axis:
+    darts are thrown at the unit columns it reaches into, and those that fall beyond it are not its own.
+    """
+    inside = None
+    if weight is not None:
+        u, row, inside = columns(u, np.asarray(weight, float), row)
+        if (inside == 1.0).all():
+            inside = None
+    total = np.bincount(row, weights=inside, minlength=n)
     out = np.zeros((n, k), dtype=U64)
-    reach = k * (math.log(k) + 3) / np.maximum(weight, 1)
-    todo = weight > 0
+    reach = k * (math.log(k) + 3) / np.maximum(total, 1e-9)
+    todo = total > 0
     while todo.any():
         pick = todo[row]
         e, r = u[pick], row[pick]
@@ -100,6 +122,9 @@ def darts(u: np.ndarray, row: np.ndarray, n: int, k: int) -> np.ndarray:
         rank = cell[j] + (w >> U64(11)) * 2.0**-53
         at = r[i[j]]
         near = rank <= reach[at]
+        if inside is not None:
+            across = (mix(w ^ _STEP) >> U64(11)) * 2.0**-53
+            near &= across < inside[pick][i[j]]
         w, rank, at = mix(w[near]), rank[near], at[near]
         slot = at * k + (w % U64(k)).astype(np.int64)
         order = np.lexsort((rank, slot))
@@ -129,9 +154,9 @@ SKETCH = [T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
 
 
 def sketch(arr: pa.Array, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> dict[str, pa.Array]:
-    u, row, whole, count = elements(arr, shingle)
+    g, weight, row, whole, count = weighted(arr, shingle)
     n = len(count)
-    keys = bands_of(darts(u, row, n, bands * rows), bands, rows).view(np.int64)
+    keys = bands_of(darts(g, row, n, bands * rows, weight), bands, rows).view(np.int64)
     return {
         "c1": pa.array(whole[:, 0].view(np.int64)),
         "c2": pa.array(np.ascontiguousarray(whole[:, 1]).view(np.int64)),
@@ -288,3 +313,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = each.where("n_words = 0").select("_id").distinct().join(classes, "_id", "left_anti").select("_id", F.col("_id").alias("cluster_id"), F.lit(1).cast("long").alias("cluster_size"))
     placed = classes.join(sizes, "cluster_id").select("_id", "cluster_id", "cluster_size").union(alone)
     return docs.select(id_col).join(placed, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, "cluster_id", "cluster_size")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row of least id stays, and of rows that repeat an id one.
+
+    Rows with a null id are in no class and stay.
+    """
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    mark = F.xxhash64(*(F.col(f"`{x}`") for x in plain))
+    classes = near_duplicates(docs, id_col, text_col)
+    gone = classes.where(F.col("cluster_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.min(mark).alias("_mark"), F.count("*").alias("_n")).where("_n > 1")
+    leave = gone.union(several.select("_again")).distinct()
+    once = docs.join(leave, docs[id_col] == leave["_gone"], "left_anti")
+    first = docs.join(several, (docs[id_col] == several["_again"]) & (mark == several["_mark"]), "left_semi")
+    return once.unionByName(first.join(gone, first[id_col] == gone["_gone"], "left_anti").dropDuplicates(plain))
