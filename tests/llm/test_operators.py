@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -112,7 +113,12 @@ def test_decontamination_judges_each_row_on_its_own_with_several_blocks(spark):
 
 
 def test_mixing(spark, texts):
-    from ledgerlake.llm.mixing import apportion, mix_sources, targets
+    from ledgerlake.llm.mixing import apportion, mix_sources
+    from ledgerlake.llm.mixing import targets as table_of_targets
+
+    def targets(sizes):
+        held = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        return {r.source: r.target for r in table_of_targets(held).collect()}
 
     docs = table(spark, [*texts, *texts])
     got = mix_sources(docs, shard_words=3000, block_words=16).collect()
@@ -135,6 +141,80 @@ def test_mixing(spark, texts):
     assert list(apportion(votes, 11)) == slow
 
 
+def slow_mix(spark, docs, shard_words, block_words, seed=17, least_blocks=64):
+    """(id, text, source) -> sorted words taken of its rows: the mix word by word in plain Python."""
+    from ledgerlake.llm.kernels import mix as finalizer
+
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("h"), F.xxhash64(F.lit(seed), "source").alias("home")).collect()
+    size = {}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + len((r.text or "").split())
+    order = [*sorted(s for s in size if s is not None), *([None] if None in size else [])]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, left, open_ = {}, sum(size.values()), set(order)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > 3 * size[s]}
+        goal |= {s: 3.0 * size[s] for s in full} if full else {s: unit * weight[s] for s in open_}
+        left -= sum(3 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    shards = max(1, -(-sum(size.values()) // shard_words))
+    streams = {}
+    for r in sorted(rows, key=lambda r: r.h):
+        own = min(shards, max(1, size[r.source] // (block_words * least_blocks)))
+        shard = (r.home % shards + r.h % own) % shards
+        streams.setdefault(shard, {}).setdefault(r.source, []).extend([(r.doc_id, r.text, r.source)] * len((r.text or "").split()))
+    taken = {}
+    for shard, held in streams.items():
+        held = {s: x for s, x in sorted(held.items(), key=lambda p: (p[0] is None, p[0] or "")) if x}
+        n = {s: max(-(-len(x) // block_words), min(len(x), least_blocks)) for s, x in held.items()}
+        votes = {s: n[s] * (goal[s] / size[s]) for s in held}
+        seats = dict.fromkeys(held, 0)
+        for _ in range(int(round(sum(votes.values())))):
+            best = max(held, key=lambda s: votes[s] / (2 * seats[s] + 1))
+            seats[best] += 1
+        for s, x in held.items():
+            quota = min(seats[s], 3 * n[s])
+            with np.errstate(over="ignore"):
+                rank = np.argsort(finalizer(np.arange(n[s], dtype=np.uint64) + np.uint64(zlib.crc32(f"{seed}/{shard}/{s}".encode()))), kind="stable")
+            times = {b: quota // n[s] for b in range(n[s])}
+            for b in rank[: quota % n[s]]:
+                times[b] += 1
+            at = 0
+            for b in range(n[s]):
+                to = at + len(x) // n[s] + (b < len(x) % n[s])
+                for w in x[at:to]:
+                    taken[w] = taken.get(w, 0) + times[b]
+                at = to
+    return taken, goal
+
+
+def test_mixing_matches_brute_force(spark, texts):
+    from ledgerlake.llm import mixing
+
+    rng = random.Random(21)
+    rare = [(1000 + i, w, "en", "rare", 1, 1, 0.0, 1) for i, w in enumerate(words(rng, 18).split())]
+    same = [(None, "again and again", "en", "dup", 1, 1, 0.0, 1)] * 40 + [(None, None, None, None, None, None, None, None)] * 5
+    big = [(2000 + i, words(rng, 300), "en", "big", 1, 1, 0.0, 1) for i in range(60)]
+    docs = table(spark, texts, [*rare, *same, *big])
+    want, goal = slow_mix(spark, docs, 1500, 8)
+    plain = mixing.mix_sources(docs, shard_words=1500, block_words=8, keep=("text",)).collect()
+    got, taken = {}, {}
+    for r in plain:
+        got.setdefault((r.doc_id, r._keep_text, r.source), []).append(r.taken)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert 0 <= r.taken <= 3 * r.size and abs(r.target - goal[r.source]) < 1e-6
+    assert len(plain) == docs.count()
+    assert all(sum(x) == want.get(k, 0) and max(x) - min(x) <= 1 for k, x in got.items())
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 1 for s in goal)
+    held, mixing.SOURCE_BYTES = mixing.SOURCE_BYTES, 0
+    try:
+        salted = mixing.mix_sources(docs, shard_words=1500, block_words=8, keep=("text",)).collect()
+    finally:
+        mixing.SOURCE_BYTES = held
+    assert sorted(map(str, salted)) == sorted(map(str, plain))
+
+
 def test_url_filter_components(spark):
     from ledgerlake.llm.urlfilter import filter_urls
 
@@ -372,6 +452,40 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (sig[2] != 0).all() and (sig[0] == sig[3]).mean() < 0.02
 
 
+def test_dart_signatures_take_real_weights():
+    from ledgerlake.llm.neardup import darts
+
+    rng = np.random.RandomState(3)
+    g = rng.randint(1, 1 << 62, 40).astype(np.uint64)
+    w = rng.uniform(0.05, 3.0, (2, 40))
+    sig = darts(np.concatenate([g, g]), np.repeat([0, 1], 40), 2, 2000, w.reshape(-1))
+    true = np.minimum(w[0], w[1]).sum() / np.maximum(w[0], w[1]).sum()
+    assert (sig != 0).all() and abs((sig[0] == sig[1]).mean() - true) < 0.04
+    whole = np.ceil(w[0])
+    assert (darts(g, np.zeros(40, int), 1, 200, whole) == darts(g, np.zeros(40, int), 1, 200, whole + 0.0)).all()
+
+
+def test_topk_prunes_pairs_and_keeps_ties_of_very_low_scores(spark):
+    from ledgerlake.llm.topk import Queries, search
+
+    far = [-1e6] * 4
+    rows = [(100, [1e6 / 1024] * 4), (5, [x / 1024 for x in far]), (3, [x / 1024 for x in far])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r.vec_id, r.score) for r in search(df, F.col("vec_id") == 100, k=1).collect()] == [(3, -4 * 10**12)]
+    again = spark.createDataFrame([(100, [None, 1.0]), (100, [float("nan"), 1.0]), (100, [1.0, 1.0]), (7, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in search(again, F.col("vec_id") == 100).collect()] == [(100, 7)]
+    rng = np.random.RandomState(4)
+    centres = rng.normal(0, 100, (40, 32))
+    x = np.floor(centres[rng.randint(0, 40, 4000)] + rng.normal(0, 4, (4000, 32)))
+    q = Queries(np.arange(50), x[:50], 5)
+    for at in range(0, 4000, 500):
+        q.offer(np.arange(at, at + 500), x[at : at + 500])
+    assert q.compared < 0.2 * q.pairs
+    for r in range(50):
+        exact = [(int(-(x[r] @ x[j])), j) for j in range(4000) if j != r]
+        assert [(int(-s), int(v)) for v, s in zip(*q.best[r], strict=True)] == sorted(exact)[:5]
+
+
 LANGS = {"aa": ["blorg", "snirf", "klept", "vron"], "bb": ["alita", "oreno", "ulima", "eposo"], "cc": ["tschk", "hwrrp", "mngzz", "pfltz"]}
 
 
