@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import cut
 from .kernels import U64, Prefix, chunks, mix, string_buffers
 from .suffixes import sort_suffixes
 
@@ -358,7 +359,8 @@ def kept(batches):
 def copied(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """id, t, n (bytes) of the documents of at least ``length`` bytes whose whole text is that of a smaller document."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.xxhash64(F.lit(length), text_col).alias("t2"), F.octet_length(text_col).alias("n")).where(F.col("n") >= length)
-    first = rows.groupBy("t", "t2", "n").agg(F.min(F.struct("id")).alias("a"), F.max(F.struct("id")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).drop("b")
+    # Written first: then both sides of the join are plain exchanges, and adaptive execution splits a large group of copies.
+    first = cut(rows.groupBy("t", "t2", "n").agg(F.min(F.struct("id")).alias("a"), F.max(F.struct("id")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).drop("b"))
     return rows.join(first, ["t", "t2", "n"]).where(~F.struct("id").eqNullSafe(F.col("a"))).select("id", "t", "n").distinct()
 
 
