@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept and returns rows with the columns of
 ``documents``; ``text`` and ``n_chars`` follow the line deduplication.  The last one
 adds how many words of each document the mix takes.
+
+Defined cases: documents with null or empty text or without a letter go in the first stage; null lang,
+source or n_chars stay as they are, and a null source is a source; rows with a null doc_id are near
+duplicates of nothing; of rows that repeat a doc_id one stays after the third stage; extra columns are kept by
+the first four stages, whatever their names; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -15,31 +20,31 @@ from ledgerlake.llm.decontaminate import clean_rows
 from ledgerlake.llm.langid import fit, identified_rows
 from ledgerlake.llm.linededup import dedup_lines
 from ledgerlake.llm.mixing import mix_sources
-from ledgerlake.llm.neardup import near_duplicates
+from ledgerlake.llm.neardup import one_of_each
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language: those without a letter.  The classifier learns from the documents' own lang."""
-    return identified_rows(docs, fit(docs))
+    """Rejects documents without a letter and those whose codeword is ambiguous.  The classifier learns from the documents' own lang."""
+    return identified_rows(docs, fit(docs), ambiguous=False)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document of which nothing is left goes, too."""
-    found = dedup_lines(docs)
-    left = found.where((F.col("_dedup.n_removed") == 0) | (F.col("_dedup.n_removed") < F.col("_dedup.n_lines")))
-    changed = F.col("_dedup.n_removed") > 0
-    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    stats = max(docs.columns, key=len) + "_lines"
+    found = dedup_lines(docs, stats_col=stats)
+    n_removed = F.col(f"`{stats}`").getField("n_removed")
+    left = found.where((n_removed == 0) | (n_removed < F.col(f"`{stats}`").getField("n_lines")))
+    n_chars = F.when(n_removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one of least doc_id."""
-    classes = near_duplicates(docs)
-    gone = classes.where(F.col("cluster_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is in windows shared with the benchmark go."""
+    """Documents with a word in a window shared with the benchmark go."""
     return clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

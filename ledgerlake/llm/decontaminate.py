@@ -10,9 +10,10 @@ word by word, so hash collisions don't count either.
 Items shorter than ``window`` are one window of their own length; for each of the
 at most ``window - 1`` such lengths every gram of that length is a fingerprint.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text.  A block's
-fingerprints are one broadcast, and all blocks are applied to each row in one map,
-so each Python worker holds the fingerprints of the whole benchmark.
+A benchmark of at most ``block_bytes`` of ids and text (summed before) is one broadcast, and the
+join is a lookup in it.  A larger one is never on one machine: its fingerprints and
+windows are tables, joined with those of the texts by shuffles; copies of a
+text are extended once.  Both ways give the same rows.
 
 Defined cases: null or empty text has no words (0, 0, no items, clean); repeated
 items count once per item_id; an item_id of null counts as the item ""; rows that
@@ -21,15 +22,14 @@ repeat a doc_id or have none are judged each on its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, Prefix, annotate, keep_rows, ngrams, string_buffers, word_spans
+from .components import cut
+from .kernels import LOWER, Prefix, annotate, chunks, keep_rows, ngrams, string_buffers, word_spans
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 16 << 20
@@ -126,30 +126,28 @@ class Block:
         return row, n, np.cumsum(cover[:-1]) > 0, found
 
 
-def judged(arr: pa.Array, held: list[Block]) -> dict[str, pa.Array]:
-    """The columns of each text, by all blocks together."""
-    hit, names = None, {}
-    for b in held:
-        row, n, own, found = b.find(arr)
-        hit = own if hit is None else hit | own
-        for r, items in found.items():
-            names.setdefault(r, set()).update(b.ids[x] for x in items)
+def judged(arr: pa.Array, held: Block) -> dict[str, pa.Array]:
+    """The columns of each text."""
+    row, n, hit, found = held.find(arr)
     n_words = np.bincount(row, minlength=n)
-    n_hit = np.bincount(row[hit], minlength=n)
     first = np.concatenate([[0], np.cumsum(n_words)])
     spans: list[list[list[int]]] = [[] for _ in range(n)]
-    for r in names:
-        flags = np.concatenate([[False], hit[first[r] : first[r + 1]], [False]])
-        edges = np.flatnonzero(flags[1:] != flags[:-1])
-        spans[r] = edges.reshape(-1, 2).tolist()
+    for r in found:
+        spans[r] = runs(hit[first[r] : first[r + 1]])
     return {
         "n_words": pa.array(n_words, pa.int64()),
-        "n_hit": pa.array(n_hit, pa.int64()),
-        "item_ids": pa.array([sorted(names.get(r, ())) for r in range(n)], pa.list_(pa.string())),
+        "n_hit": pa.array(np.bincount(row[hit], minlength=n), pa.int64()),
+        "item_ids": pa.array([sorted(held.ids[x] for x in found.get(r, ())) for r in range(n)], pa.list_(pa.string())),
         "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
     }
 
 
+def runs(flags: np.ndarray) -> list[list[int]]:
+    """[from, to) of the maximal runs of true flags."""
+    edge = np.concatenate([[False], flags, [False]])
+    return np.flatnonzero(edge[1:] != edge[:-1]).reshape(-1, 2).tolist()
+
+
 def member(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(x), bool)
@@ -162,17 +160,107 @@ def gram_at(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return ngrams(h[at[:, None] + np.arange(size)].reshape(-1), size)[::size] if len(at) else np.zeros(0, np.uint64)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks; the driver holds one partition's rows and one block at a time."""
-    held, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    for r in rows.toLocalIterator():
-        if held and size + len(r.t) > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append((r.i, r.t))
-        size += len(r.t)
-    yield held
+def small(items: DataFrame, block_bytes: int) -> Block | None:
+    """The items as one block, if they have at most ``block_bytes`` of ids and text; items: i, t."""
+    if (items.agg(F.sum(F.octet_length("i") + F.octet_length("t")).alias("n")).first().n or 0) > block_bytes:
+        return None
+    return Block([(r.i, r.t) for r in items.collect()])
+
+
+def item_rows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+
+def item_windows(batches, window: int, k: int):
+    """Rows (size, w, fp, i): the windows of the items with their text, and their fingerprints without; batches hold i, t."""
+    for batch in batches:
+        for part in chunks(batch, "t"):
+            block = Block(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), window, k)
+            for size, (keys, owner, text) in block.tables.items():
+                prints = block.prints if size == window else np.unique(keys)
+                n = len(prints)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(text) + n, size), pa.int32()),
+                        pa.array([*text, *[None] * n], pa.binary()),
+                        pa.concat_arrays([pa.nulls(len(text), pa.int64()), pa.array(prints.view(np.int64))]),
+                        pa.array([*(block.ids[x] for x in owner), *[None] * n], pa.string()),
+                    ],
+                    names=["size", "w", "fp", "i"],
+                )
+
+
+def doc_prints(batches, sizes: list[int], window: int, k: int):
+    """Rows (size, fp, t1, t2, pos): the fingerprints of the texts; batches hold t1, t2, text."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            _, _, _, row, h, _ = words_of(part.column(2))
+            for size in sizes:
+                grams = ngrams(h, k if size == window else size)
+                at = winnow(grams, row, window, k) if size == window else np.flatnonzero(row[: len(grams)] == row[size - 1 :]) if len(grams) else np.zeros(0, np.int64)
+                of = row[at]
+                place = at - np.searchsorted(row, of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size), pa.int32()), pa.array(grams[at].view(np.int64)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(place, pa.int32())],
+                    names=["size", "fp", "t1", "t2", "pos"],
+                )
+
+
+def extended(batches, window: int, k: int):
+    """Rows (size, w, t1, t2, at): the windows around joined fingerprints; batches hold t1, t2, text, marks (size, pos)."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            data, starts, ends, row, _, n = words_of(part.column(2))
+            count = np.bincount(row, minlength=n)
+            first = np.concatenate([[0], np.cumsum(count)])
+            size, text, owner, place = [], [], [], []
+            for r, marks in enumerate(part.column(3).to_pylist()):
+                near = {(m["size"], m["pos"] - j) for m in marks for j in range(window - k + 1 if m["size"] == window else 1)}
+                for s, i in sorted(x for x in near if 0 <= x[1] <= count[r] - x[0]):
+                    j = first[r] + i
+                    size.append(s)
+                    text.append(b" ".join(data[starts[x] : ends[x]].tobytes() for x in range(j, j + s)))
+                    owner.append(r)
+                    place.append(i)
+            of = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(text, pa.binary()), part.column(0).take(of), part.column(1).take(of), pa.array(place, pa.int32())], names=["size", "w", "t1", "t2", "at"])
+
+
+def joined_hits(texts: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """t1, t2, items, hits (at, size) of the texts that hold a window; texts: t1, t2, text."""
+    own = cut(items.mapInArrow(lambda b: item_windows(b, window, k), "size int, w binary, fp long, i string"))
+    sizes = sorted(r.size for r in own.select("size").distinct().collect())
+    prints = cut(own.where("fp IS NOT NULL").select("size", "fp").distinct())
+    seen = texts.mapInArrow(lambda b: doc_prints(b, sizes, window, k), "size int, fp long, t1 long, t2 long, pos int")
+    marks = seen.join(prints, ["size", "fp"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("size", "pos")).alias("marks"))
+    # Copies are extended once: only their first text travels on.
+    held = texts.join(marks.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text")).join(marks, ["t1", "t2"])
+    near = held.select("t1", "t2", "text", "marks").mapInArrow(lambda b: extended(b, window, k), "size int, w binary, t1 long, t2 long, at int")
+    hits = near.join(own.where("w IS NOT NULL").select("size", "w", "i").distinct(), ["size", "w"])
+    return hits.groupBy("t1", "t2").agg(F.collect_set("i").alias("items"), F.collect_set(F.struct("at", "size")).alias("hits"))
+
+
+def hit_rows(batches):
+    """Rows (id, n_words, n_hit, item_ids, spans) of batches of id, text, items, hits."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            _, _, _, row, _, n = words_of(part.column(1))
+            n_words = np.bincount(row, minlength=n)
+            n_hit, spans = np.zeros(n, np.int64), []
+            for r, hits in enumerate(part.column(3).to_pylist()):
+                cover = np.zeros(n_words[r] + 1, np.int32)
+                for x in hits or ():
+                    cover[x["at"]] += 1
+                    cover[x["at"] + x["size"]] -= 1
+                flags = np.cumsum(cover[:-1]) > 0
+                n_hit[r] = flags.sum()
+                spans.append(runs(flags))
+            items = pa.array([sorted(x or ()) for x in part.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit), items, pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["id", *(c.name for c in COLUMNS)])
+
+
+def text_keys(text_col: str) -> list:
+    return [F.xxhash64(F.lit(i), text_col).alias(f"t{i}") for i in (1, 2)]
 
 
 def decontaminate(
@@ -187,22 +275,29 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside a shared window), item_ids, spans ([from, to) word positions)."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(Block(items, window, k)) for items in blocks(benchmark, item_col, item_text_col, block_bytes)]
-    return annotate(docs, lambda arr: judged(arr, [b.value for b in held]), COLUMNS, id_col, text_col)
-
-
-def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated: under a ``share``-th of their words hit, by all blocks together."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(Block(items)) for items in blocks(benchmark, item_col, item_text_col, block_bytes)]
+    items = item_rows(benchmark, item_col, item_text_col)
+    block = small(items, block_bytes)
+    if block is not None:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+        return annotate(docs, lambda arr: judged(arr, held.value), COLUMNS, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *text_keys(text_col))
+    found = joined_hits(rows.select("t1", "t2", "text"), items, window, k)
+    both = rows.join(found, ["t1", "t2"], "left").select("id", "text", "items", "hits")
+    return both.mapInArrow(hit_rows, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *COLUMNS])).withColumnRenamed("id", id_col)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` of which no word is in a window shared with the benchmark."""
+    items = item_rows(benchmark, item_col, item_text_col)
+    block = small(items, block_bytes)
+    if block is None:
+        found = joined_hits(docs.select(*text_keys(text_col), F.col(text_col).alias("text")), items, WINDOW, GRAM).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+        keys = text_keys(text_col)
+        return docs.join(found, (keys[0] == found["_t1"]) & (keys[1] == found["_t2"]), "left_anti")
+    held = docs.sparkSession.sparkContext.broadcast(block)
 
     def clean(arr: pa.Array) -> np.ndarray:
-        hit = None
-        for b in held:
-            row, n, own, _ = b.value.find(arr)
-            hit = own if hit is None else hit | own
-        n_hit = np.bincount(row[hit], minlength=n)
-        return (n_hit == 0) | (share * n_hit < np.bincount(row, minlength=n))
+        row, n, hit, _ = held.value.find(arr)
+        return np.bincount(row[hit], minlength=n) == 0
 
     return keep_rows(docs, clean, text_col)
