@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .operators import changes, procedures
 from .operators.expressions import PASS_THROUGH, Compiler, GqlError, Table, c
-from .operators.match import UNBOUNDED, Matcher, conjuncts, joined_on_shared, names, needed
+from .operators.match import UNBOUNDED, Matcher, conjunction, conjuncts, joined_on_shared, names, needed
 from .operators.results import project, set_operation
 from .plans import ast as A
 from .plans.parser import parse
@@ -98,18 +98,18 @@ class Engine:
             own = set(m_vars(pattern))
             early = [e for e in conjuncts(pattern.where) if not (names(e) & set(table.kinds)) - own]
             late = [e for e in conjuncts(pattern.where) if e not in early]
-            if late and step.optional:
-                raise GqlError("the WHERE of an OPTIONAL MATCH can only use variables of its own pattern")
-            where = None
-            for e in early:
-                where = e if where is None else A.Binary("AND", where, e)
-            pattern = replace(pattern, where=where)
+            pattern = replace(pattern, where=conjunction(early))
         found = m.graph_pattern(pattern)
         if step.optional and table is None:
             unit = Table(self.spark.range(1).select(F.lit(1).alias("_unit")), {})
             return Table(joined_on_shared(unit, found, "left").df.drop("_unit"), found.kinds)
         if table is None:
             return found
+        if late and step.optional:
+            # Part of the join's condition: a row whose matches all fail keeps one row of nulls.
+            right, cond = m.conditional(table, found, late)
+            joined = table.df.join(right, cond, "left")
+            return Table(joined.drop(*(x for x in right.columns if x.startswith("_on_"))), {**found.kinds, **table.kinds})
         out = joined_on_shared(table, found, "left" if step.optional else "inner")
         for e in late:
             out = m.where(out, e)
@@ -241,19 +241,19 @@ class Engine:
     def _session(self, s: A.Session, params: dict) -> DataFrame:
         if s.action == "close":
             self.session.clear()
-            return self.row(result="Session closed")
+            return self.row(result="session ended")
         if s.action == "reset":
             if s.key == "all":
                 self.session.clear()
             else:
                 self.session.pop(s.key, None)
-            return self.row(result=f"Session reset: {s.key}")
+            return self.row(result=f"{s.key} is unset")
         if s.key == "graph":
             self.catalog.use(s.value)
         elif s.key == "time zone":
             self.spark.conf.set("spark.sql.session.timeZone", s.value)
         self.session[s.key] = changes.constant(s.value, params) if isinstance(s.value, A.Expr) else s.value
-        return self.row(result=f"Session set: {s.key}")
+        return self.row(result=f"{s.key} is set")
 
     def _transaction(self, s: A.Transaction, params: dict) -> DataFrame:
         # Each statement gives a new immutable graph, so there is nothing to lock; START keeps what ROLLBACK returns to.
@@ -264,7 +264,7 @@ class Engine:
             self._kept = None
         elif s.action == "commit":
             self._kept = None
-        return self.row(result={"start": "Transaction started", "commit": "Transaction committed", "rollback": "Transaction rolled back"}[s.action])
+        return self.row(result={"start": "changes from here on can be undone", "commit": "changes kept", "rollback": "changes undone"}[s.action])
 
 
 def m_vars(pattern: A.GraphPattern) -> set[str]:

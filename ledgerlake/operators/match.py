@@ -156,30 +156,48 @@ class Matcher:
             return replace(e, **{f.name: self.flagged(getattr(e, f.name), flags) for f in fields(e)})
         return tuple(self.flagged(x, flags) for x in e) if isinstance(e, tuple) else e
 
-    def inner(self, table: Table, pattern: A.GraphPattern) -> tuple[DataFrame, list[str]]:
-        """(shared ids of the pattern's matches, distinct; the shared columns)."""
+    def inner(self, table: Table, pattern: A.GraphPattern) -> tuple[DataFrame, list[str] | Column]:
+        """(the pattern's matches, what they are joined on): distinct shared ids and their columns, or a condition if its WHERE reads outer variables."""
         outer = Matcher(self.graph, needed(pattern), self.params, self.unbounded)
         outer.n = self.n + 1000
         own = variables(pattern)
-        correlated = needed(pattern.where, set()) | names(pattern.where)
-        extra = [v for v in table.kinds if v in correlated and v not in own]
-        found = outer.graph_pattern(replace(pattern, where=None) if extra else pattern)
+        late = [e for e in conjuncts(pattern.where) if (names(e) & set(table.kinds)) - own]
+        found = outer.graph_pattern(replace(pattern, where=conjunction([e for e in conjuncts(pattern.where) if e not in late])))
         shared = [v for v in found.kinds if v in table.kinds and found.kinds[v] in ("node", "edge")]
-        if extra:
-            raise GqlError(f"EXISTS may use outer variables only in its pattern, not {', '.join(extra)} in WHERE alone")
+        if late:
+            return self.conditional(table, found, late)
         keys = [f"{v}@id" for v in shared]
         return (found.df.select(*(c(k) for k in keys)).distinct() if keys else found.df.limit(1).select(F.lit(1).alias("_one"))), keys
 
+    def conditional(self, table: Table, found: Table, late: list[A.Expr]) -> tuple[DataFrame, Column]:
+        """(``found`` under names that ``table`` lacks, the condition): equal shared variables, and ``late`` over the variables of both."""
+        if any(has_exists(e) for e in late):
+            raise GqlError("EXISTS inside such a WHERE can't be joined")
+        shared = [v for v in found.kinds if v in table.kinds]
+        keys = {v: v if found.kinds[v] == "scalar" else f"{v}@id" for v in shared}
+        have = set(table.df.columns)
+        right = found.df.select(*(c(x).alias(f"_on_{x}") for x in keys.values()), *(c(x) for x in found.df.columns if x not in keys.values() and x not in have))
+        cond = F.lit(True)
+        for k in keys.values():
+            cond = cond & (c(k) == c(f"_on_{k}"))
+        both = Table(table.df.join(right, cond), {**found.kinds, **table.kinds})
+        for e in late:
+            cond = cond & self.test(both, e)
+        return right, cond
+
     def semi(self, table: Table, pattern: A.GraphPattern, how: str) -> Table:
-        found, keys = self.inner(table, pattern)
-        on = keys if keys else F.lit(True)
-        return Table(table.df.join(found, on, how), table.kinds)
+        found, on = self.inner(table, pattern)
+        return Table(table.df.join(found, F.lit(True) if isinstance(on, list) and not on else on, how), table.kinds)
 
     def flag(self, table: Table, pattern: A.GraphPattern, name: str) -> Table:
-        found, keys = self.inner(table, pattern)
+        found, on = self.inner(table, pattern)
+        kinds = {**table.kinds, name: "scalar"}
+        if not isinstance(on, list):
+            yes, no = (table.df.join(found, on, how).withColumn(name, F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
+            return Table(yes.unionByName(no), kinds)
         found = found.withColumn(name, F.lit(True))
-        df = table.df.join(found, keys if keys else F.lit(True), "left").withColumn(name, F.coalesce(c(name), F.lit(False)))
-        return Table(df, {**table.kinds, name: "scalar"})
+        df = table.df.join(found, on if on else F.lit(True), "left").withColumn(name, F.coalesce(c(name), F.lit(False)))
+        return Table(df, kinds)
 
     # -- paths ----------------------------------------------------------------
     def start(self, part: A.Node) -> State:
@@ -195,15 +213,26 @@ class Matcher:
         var = part.var or self.fresh("n")
         table = state.table
         if var in table.kinds:
-            df = table.df.where(c(to) == c(f"{var}@id")).drop(to)
-            cond = label_test(part.label, c(f"{var}@label")) if f"{var}@label" in df.columns else None
-            return State(self.where(Table(df if cond is None else df.where(cond), table.kinds), part.where), state.first, f"{var}@id")
+            df = self.again(table.df.where(c(to) == c(f"{var}@id")).drop(to), part, var)
+            return State(self.where(Table(df, table.kinds), part.where), state.first, f"{var}@id")
         if self.wants(part):
             df = table.df.join(self.node_table(part, var), c(to) == c(f"{var}@id")).drop(to)
         else:
             df = table.df.withColumnRenamed(to, f"{var}@id")
         return State(self.where(Table(df, {**table.kinds, var: "node"}), part.where), state.first, f"{var}@id")
 
+    def again(self, df: DataFrame, part: A.Node, var: str) -> DataFrame:
+        """The rows whose vertex ``var``, bound before, fits label and inline properties of this mention, too."""
+        asked = part.props or (part.label is not None and label_test(part.label, F.lit("")) is not None)
+        if not asked:
+            return df
+        if f"{var}@label" in df.columns:
+            return self.filtered(df, var, part, "node")
+        # Bound by its id alone: the vertices that fit are looked up.
+        other = self.fresh("n")
+        fit = self.node_table(part, other).select(c(f"{other}@id"))
+        return df.join(fit, c(f"{var}@id") == c(f"{other}@id"), "left_semi")
+
     def hop(self, state: State, part: A.Edge, mode: str) -> State:
         """One edge from the current vertex; its target is in _to."""
         var = part.var or self.fresh("e")
@@ -246,7 +275,8 @@ class Matcher:
         table = state.table
         df = table.df.withColumns({"_to": c(state.last), "_base": F.size("_e")})
         levels = [df] if q.low == 0 else []
-        if high > 2:
+        # Edges are read anew at each level, with their filters pushed down: at scale a copy of them costs more than a scan.
+        if high > 2 and isinstance(part, A.Paren):
             relation = cut(relation)
         for d in range(1, high + 1):
             joined = df.join(relation.select(F.col("_from").alias("_rf"), F.col("_to").alias("_rt"), "_hv", "_he"), c("_to") == c("_rf"))
@@ -336,7 +366,7 @@ class Matcher:
         q = edge.quantifier
         start = self.start(head)
         begin = start.table.df.select(c(start.first).alias("_s")).distinct()
-        relation = cut(self.relation(edge, "WALK").select("_from", "_to", F.col("_he")[0].alias("_eid")))
+        relation = self.relation(edge, "WALK").select("_from", "_to", F.col("_he")[0].alias("_eid"))
         front = cut(begin.select("_s", F.col("_s").alias("_t"), F.array("_s").alias("_v"), F.array().cast("array<bigint>").alias("_e")))
         levels = [front] if q.low == 0 else []
         seen = front.select("_s", "_t")
@@ -414,6 +444,18 @@ def conjuncts(e: A.Expr | None) -> list[A.Expr]:
     return [e]
 
 
+def conjunction(parts: list[A.Expr]) -> A.Expr | None:
+    return reduce(lambda a, b: A.Binary("AND", a, b), parts) if parts else None
+
+
+def has_exists(e) -> bool:
+    if isinstance(e, A.Exists):
+        return True
+    if isinstance(e, tuple):
+        return any(has_exists(x) for x in e)
+    return is_dataclass(e) and any(has_exists(getattr(e, f.name)) for f in fields(e))
+
+
 def guarded(df: DataFrame, mode: str, edge: Column, to: Column) -> DataFrame:
     """Drop extensions by one edge that the path mode forbids."""
     if mode == "TRAIL":
@@ -475,4 +517,4 @@ def joined_on_shared(a: Table, b: Table, how: str = "inner") -> Table:
     return Table(a.df.join(right, [key(v) for v in shared], how), kinds)
 
 
-__all__ = ["Matcher", "conjuncts", "is_aggregate", "joined_on_shared", "needed", "variables"]
+__all__ = ["Matcher", "conjunction", "conjuncts", "is_aggregate", "joined_on_shared", "needed", "variables"]
