@@ -17,15 +17,17 @@ SQL: dict[str, str] = {}
 
 LEDGER = """
 ov AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS block_number FROM orders),
-ll AS (SELECT * FROM lineitem JOIN ov ON l_orderkey = o_orderkey),
+ll AS (
+  SELECT *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_extendedprice) - 1 AS number
+  FROM lineitem JOIN ov ON l_orderkey = o_orderkey),
 V AS (
   SELECT c_custkey AS id, 'Account' AS label, 'a:' || c_custkey AS address, c_name AS name, round(c_acctbal * 100)::BIGINT AS balance FROM customer
   UNION ALL SELECT 1000000000 + s_suppkey, 'Contract', 'c:' || (1000000000 + s_suppkey), s_name, round(s_acctbal * 100)::BIGINT FROM supplier
   UNION ALL SELECT 2000000000 + p_partkey, 'Token', 't:' || (2000000000 + p_partkey), p_name, round(p_retailprice * 100)::BIGINT FROM part
   UNION ALL SELECT 3000000000 + o_orderkey, 'Transaction', 't:' || (3000000000 + o_orderkey), NULL, round(o_totalprice * 100)::BIGINT FROM orders),
 E AS (
-  SELECT 3 * (l_orderkey * 10 + l_linenumber) AS id, 'Transfer' AS label, o_custkey AS src, 1000000000 + l_suppkey AS dst, round(l_extendedprice * 100)::BIGINT AS amount, block_number FROM ll
-  UNION ALL SELECT 3 * (l_orderkey * 10 + l_linenumber) + 1, 'Call', 3000000000 + l_orderkey, 2000000000 + l_partkey, NULL, block_number FROM ll
+  SELECT 3 * number AS id, 'Transfer' AS label, o_custkey AS src, 1000000000 + l_suppkey AS dst, round(l_extendedprice * 100)::BIGINT AS amount, block_number FROM ll
+  UNION ALL SELECT 3 * number + 1, 'Call', 3000000000 + l_orderkey, 2000000000 + l_partkey, NULL, block_number FROM ll
   UNION ALL SELECT o_orderkey * 30 + 2, 'TxRel', o_custkey, 3000000000 + o_orderkey, NULL, block_number FROM ov)
 """
 HANDOFF = """
@@ -91,7 +93,8 @@ ledger(
 ledger(
     "comma_join",
     "MATCH (a:Account)-[t:Transfer]->(c:Contract), (a)-[r:TxRel]->(o:Transaction) WHERE t.amount > 9000000 RETURN a.id AS a, c.id AS c, o.id AS o",
-    "SELECT t.src AS a, t.dst AS c, r.dst AS o FROM E t JOIN E r ON t.src = r.src WHERE t.label = 'Transfer' AND r.label = 'TxRel' AND t.amount > 9000000",
+    """, t AS MATERIALIZED (SELECT src, dst FROM E WHERE label = 'Transfer' AND amount > 9000000), r AS MATERIALIZED (SELECT src, dst FROM E WHERE label = 'TxRel')
+    SELECT t.src AS a, t.dst AS c, r.dst AS o FROM t JOIN r ON t.src = r.src""",
 )
 ledger("cartesian", "MATCH (a:Contract), (b:Contract) WHERE a.id <> b.id AND a.balance < b.balance RETURN count(*) AS n", "SELECT count(*) AS n FROM V a, V b WHERE a.label = 'Contract' AND b.label = 'Contract' AND a.id <> b.id AND a.balance < b.balance")
 ledger(

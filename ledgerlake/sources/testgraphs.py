@@ -28,7 +28,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> Graph:
     )
     orders = t("orders").select("o_orderkey", "o_custkey", F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long").alias("block_number"))
     lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # Lines that share order and number are told apart by their rank; lines of equal part, supplier and price make equal edges.
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey", "l_extendedprice")
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.row_number().over(same) - 1
     transfer = lines.select((number * 3).alias("id"), F.lit("Transfer").alias("label"), F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst"), F.round(F.col("l_extendedprice") * 100).cast(AMOUNT).alias("amount"), "block_number")
     call = lines.select((number * 3 + 1).alias("id"), F.lit("Call").alias("label"), (F.col("l_orderkey") + ORDER).alias("src"), (F.col("l_partkey") + PART).alias("dst"), null(AMOUNT).alias("amount"), "block_number")
     rel = orders.select((F.col("o_orderkey") * 30 + 2).alias("id"), F.lit("TxRel").alias("label"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") + ORDER).alias("dst"), null(AMOUNT).alias("amount"), "block_number")
