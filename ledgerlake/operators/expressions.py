@@ -248,12 +248,16 @@ class Compiler:
             distinct = {"COUNT": F.count_distinct, "SUM": F.sum_distinct, "COLLECT": F.collect_set, "MIN": F.min, "MAX": F.max}
             if e.name in distinct:
                 return distinct[e.name](*args)
-            # Through the set of values; one row a group holds it.
-            values = F.collect_set(args[0])
-            total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
             if e.name == "AVG":
-                return F.try_divide(total, F.size(values))
-            raise GqlError(f"{e.name} DISTINCT is not supported")
+                total = F.sum_distinct(args[0])
+                whole = self.type_of(args[0])
+                return F.try_divide(total.cast("double") if isinstance(whole, WHOLE) else total, F.count_distinct(args[0]))
+            # The other spreads take DISTINCT by SQL text, which needs a column.
+            name = f"{e.args[0].of.name}@{e.args[0].name}" if isinstance(e.args[0], A.Prop) and isinstance(e.args[0].of, A.Var) else getattr(e.args[0], "name", "")
+            spreads = {"STDDEV": "stddev_samp", "STDDEV_SAMP": "stddev_samp", "STDDEV_POP": "stddev_pop", "VARIANCE": "var_samp", "VAR_SAMP": "var_samp", "VAR_POP": "var_pop"}
+            if e.name not in spreads or name not in self.table.df.columns:
+                raise GqlError(f"{e.name} DISTINCT takes a property or a value bound by LET")
+            return F.expr(f"{spreads[e.name]}(DISTINCT `{name}`)")
         plain = {
             "COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COLLECT": F.collect_list, "STDDEV": F.stddev_samp, "STDDEV_SAMP": F.stddev_samp, "STDDEV_POP": F.stddev_pop,
             "VARIANCE": F.var_samp, "VAR_SAMP": F.var_samp, "VAR_POP": F.var_pop, "APPROX_COUNT_DISTINCT": F.approx_count_distinct, "PERCENTILE_APPROX": F.percentile_approx,

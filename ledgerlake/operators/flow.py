@@ -1,8 +1,10 @@
 """Maximum flow, minimum cut and bottlenecks.
 
 Capacities are aggregated and the network is pruned to walks from source to sink as
-DataFrames; what is left of it is solved in one task by blocking flows on level graphs in exact
-integers.  ``most_edges`` bounds that task, and a larger network is refused, not cut down.
+DataFrames.  Up to ``most_edges`` pairs, what is left is solved in one task by blocking flows on level
+graphs in exact integers.  A larger network stays a table: shortest augmenting paths are
+found by distributed search over the residual pairs, those of large capacity first, until there is
+none.  Both give the same value and the same least source side.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.graph import Graph, cut
-from .paths import reached
+from ..sources.graph import Graph, cut, union_all
+from .paths import reached, shortest_path
 
 MOST_EDGES = 2_000_000
 
@@ -99,11 +101,10 @@ SOLVED = "kind string, src long, dst long, flow decimal(38,0)"
 
 
 def solved(graph: Graph, source: int, target: int, most_edges: int = MOST_EDGES) -> DataFrame:
-    """Rows of kind value (flow), flow (src, dst, flow) and side (src: a vertex on the source side)."""
-    net = cut(pruned(graph, capacities(graph), source, target))
-    n = net.count()
-    if n > most_edges:
-        raise ValueError(f"the network between {source} and {target} has {n} pairs; at most {most_edges} are solved in one task")
+    """Rows of kind value (flow), flow (src, dst, flow) and side (src: a vertex on the source side, of those on walks to the target)."""
+    net = cut(pruned(graph, cut(capacities(graph)), source, target))
+    if net.count() > most_edges:
+        return augmented(net, source, target)
     marker = graph.spark.createDataFrame([(None, None, None)], "src long, dst long, cap decimal(38,0)")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,6 +117,35 @@ def solved(graph: Graph, source: int, target: int, most_edges: int = MOST_EDGES)
     return net.select("src", "dst", "cap").union(marker).groupBy(F.lit(1).alias("one")).applyInPandas(one, SOLVED)
 
 
+def augmented(net: DataFrame, source: int, target: int) -> DataFrame:
+    """The rows of ``solved`` for a network that stays distributed: only one path at a time reaches the driver."""
+    spark = net.sparkSession
+    vertices = spark.range(0).select("id")
+    left = cut(net.select("src", "dst", "cap").union(net.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("decimal(38,0)").alias("cap"))).groupBy("src", "dst").agg(F.sum("cap").cast("decimal(38,0)").alias("cap")))
+    value, scale = 0, 1
+    top = net.agg(F.max("cap")).first()[0] or 0
+    while scale * 2 <= top:
+        scale *= 2
+    while source != target and scale >= 1:
+        open_ = left.where(F.col("cap") >= scale)
+        edges = open_.select(F.xxhash64("src", "dst").alias("id"), F.lit("").alias("label"), "src", "dst", F.col("cap").alias("amount"))
+        found = shortest_path(Graph(vertices, edges), source, target).first()
+        if found is None:
+            scale //= 2
+            continue
+        steps = spark.createDataFrame(list(zip(found.vertices[:-1], found.vertices[1:], strict=True)), "src long, dst long")
+        push = left.join(F.broadcast(steps), ["src", "dst"]).agg(F.min("cap")).first()[0]
+        value += int(push)
+        change = steps.select("src", "dst", F.lit(-push).alias("by")).union(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(push).alias("by")))
+        left = cut(left.join(F.broadcast(change), ["src", "dst"], "left").select("src", "dst", (F.col("cap") + F.coalesce("by", F.lit(0))).cast("decimal(38,0)").alias("cap")))
+    null = F.lit(None).cast("long")
+    total = spark.range(1).select(F.lit("value").alias("kind"), null.alias("src"), null.alias("dst"), F.lit(value).cast("decimal(38,0)").alias("flow"))
+    used = net.join(left.withColumnRenamed("cap", "rest"), ["src", "dst"]).where("cap > rest").select(F.lit("flow"), "src", "dst", (F.col("cap") - F.col("rest")).cast("decimal(38,0)"))
+    open_ = left.where("cap > 0").select(F.lit(0).cast("long").alias("id"), F.lit("").alias("label"), "src", "dst")
+    side = reached(Graph(vertices, open_), source).select(F.lit("side"), "id", null, F.lit(None).cast("decimal(38,0)"))
+    return total.union(used).union(side)
+
+
 def max_flow(graph: Graph, source: int, target: int) -> DataFrame:
     """One row: value."""
     return solved(graph, source, target).where("kind = 'value'").select(F.col("flow").alias("value"))
@@ -125,9 +155,24 @@ def flows(graph: Graph, source: int, target: int) -> DataFrame:
     return solved(graph, source, target).where("kind = 'flow'").select("src", "dst", "flow")
 
 
-def min_cut(graph: Graph, source: int, target: int) -> DataFrame:
-    """id of each vertex on the source side, which is the least one."""
-    return solved(graph, source, target).where("kind = 'side'").select(F.col("src").alias("id"))
+def min_cut(graph: Graph, source: int, target: int, most_edges: int = MOST_EDGES) -> DataFrame:
+    """id of each vertex on the source side, which is the least one.
+
+    Vertices that the side reaches but that can't reach the target are on it, too: nothing flows to them, so their pairs are open.
+    """
+    caps = cut(capacities(graph))
+    held = Graph(graph.vertices, caps.select(F.lit(0).cast("long").alias("id"), F.lit("Transfer").alias("label"), "src", "dst", F.col("cap").alias("amount")))
+    front = cut(solved(held, source, target, most_edges).where("kind = 'side'").select(F.col("src").alias("id")))
+    if source == target:
+        return front
+    ends = reached(held, target, direction="backward").select(F.col("id").alias("dst"))
+    dead = cut(caps.join(ends, "dst", "left_anti").select("src", "dst"))
+    parts = [front]
+    while not front.isEmpty():
+        seen = union_all(parts).select(F.col("id").alias("dst"))
+        front = cut(front.join(dead, F.col("id") == F.col("src")).select("dst").distinct().join(seen, "dst", "left_anti").select(F.col("dst").alias("id")))
+        parts.append(front)
+    return union_all(parts)
 
 
 def multi_source_sink_max_flow(graph: Graph, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -141,4 +186,6 @@ def multi_source_sink_max_flow(graph: Graph, pairs: list[tuple[int, int]]) -> Da
 
 def find_bottleneck_edges(graph: Graph, source: int, target: int) -> DataFrame:
     """src, dst, cap of the pairs that the flow fills."""
-    return flows(graph, source, target).join(capacities(graph), ["src", "dst"]).where("flow = cap").select("src", "dst", "cap")
+    caps = cut(capacities(graph))
+    held = Graph(graph.vertices, caps.select(F.lit(0).cast("long").alias("id"), F.lit("Transfer").alias("label"), "src", "dst", F.col("cap").alias("amount")))
+    return flows(held, source, target).join(caps, ["src", "dst"]).where("flow = cap").select("src", "dst", "cap")

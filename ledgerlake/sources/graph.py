@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EDGE_KEYS = ("id", "label", "src", "dst")
 
@@ -114,11 +114,21 @@ class Graph:
 
     @staticmethod
     def read(spark: SparkSession, folder: str, schema=None) -> Graph:
-        with contextlib.suppress(ValueError):
-            spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        v, e = spark.read.parquet(f"{folder}/vertices"), spark.read.parquet(f"{folder}/edges")
+        v, e = (labelled(spark, f"{folder}/{kind}") for kind in ("vertices", "edges"))
         return Graph(v.select("id", "label", *(c for c in v.columns if c not in ("id", "label"))), e.select(*EDGE_KEYS, *(c for c in e.columns if c not in EDGE_KEYS)), schema)
 
+    def repeated_ids(self) -> DataFrame:
+        """kind, id, n of the ids that several vertices or several edges have; a sound graph has none."""
+        parts = [df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(kind).alias("kind"), "id", "n") for kind, df in (("vertex", self.vertices), ("edge", self.edges))]
+        return parts[0].union(parts[1])
+
+
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """A table stored by label, with labels as strings whatever they look like; no session setting is touched."""
+    found = spark.read.parquet(folder)
+    kinds = [T.StructField("label", T.StringType()) if f.name == "label" else f for f in found.schema]
+    return spark.read.schema(T.StructType(kinds)).parquet(folder)
+
 
 def empty_graph(spark: SparkSession, schema=None) -> Graph:
     vertices = "id long, label string, address string, name string"

@@ -73,14 +73,29 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` in its order with numbers from 1: positions inside partitions plus the partitions' offsets."""
     part, at = F.shiftright(F.col("_m"), 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     marked = cut(df.withColumn("_m", F.monotonically_increasing_id()))
-    sizes = sorted((r[0], r[1]) for r in marked.groupBy(part.alias("p")).count().collect())
-    offset, whens = 0, F.lit(0)
-    for p, n in sizes:
-        whens, offset = F.when(part == p, F.lit(offset)).otherwise(whens), offset + n
-    if len(sizes) > 100:
-        offsets = df.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "_p long, _o long")
-        return marked.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, at + F.col("_o") + 1).drop("_m", "_p", "_o")
-    return marked.withColumn(name, (at + whens + 1).cast("long")).drop("_m")
+    offsets, offset = [], 0
+    for p, n in sorted((r[0], r[1]) for r in marked.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, offset))
+        offset += n
+    # One row a partition.
+    table = df.sparkSession.createDataFrame(offsets, "_p long, _o long")
+    return marked.join(F.broadcast(table), part == F.col("_p")).withColumn(name, at + F.col("_o") + 1).drop("_m", "_p", "_o")
+
+
+def import_etherscan_csv(spark: SparkSession, path: str) -> Imported:
+    """An explorer's export: transfers_csv under the name that its users know."""
+    return transfers_csv(spark, path)
+
+
+def import_jsonl(spark: SparkSession, path: str) -> Imported:
+    return transfers_jsonl(spark, path)
+
+
+def imported(spark: SparkSession, path: str, kind: str) -> Imported:
+    """By the name of a format: csv, jsonl or json."""
+    if kind not in ("csv", "jsonl", "json"):
+        raise ValueError(f"unknown format {kind}")
+    return transfers_csv(spark, path) if kind == "csv" else transfers_jsonl(spark, path)
 
 
 def transactions_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
