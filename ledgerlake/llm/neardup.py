@@ -31,12 +31,15 @@ take no part and have a null class.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components, cut
 from .kernels import LOWER, U64, Prefix, annotate, mix, ngrams, powers, string_buffers, word_spans
@@ -46,6 +49,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Nodes in a bucket from which on pairs are counted out before they are made; nodes that hold a strip at which those that share it are paired directly.
 CROWD, RARE = 64, 8
+#: Strips held at a time, and the least number of parts that strips and nodes are dealt to.
+MANY, LEAST_PARTS = 1 << 22, 64
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _STEP = U64(0xD1B54A32D192ED03)
@@ -172,42 +177,150 @@ def element_rows(arr: pa.Array) -> dict[str, pa.Array]:
     return {"e": pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())}
 
 
-def strips(batches, rare: int = RARE):
-    """Rows (x, node): each unit strip of a node; batches hold node, e.
+def ranks(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(place of each id in order, the distinct ids in order)."""
+    coded = ids.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
 
-    A strip that more than ``rare`` nodes of some rows have is said to be frequent by one row without a node instead.
-    """
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            held = [np.frombuffer(x.as_py(), dtype=">u8").astype(U64).view(np.int64) for x in part.column(1)]
-            x, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-            values, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
-            few = (count <= rare)[inverse.reshape(-1)]
-            often = values[count > rare]
-            nodes = part.column(0).take(pa.array(owner[few]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[few], often])), pa.concat_arrays([nodes, pa.nulls(len(often), nodes.type)])], names=["x", "node"])
+
+def slots(ids: pa.Array, n: int) -> np.ndarray:
+    """A number below ``n`` for each id."""
+    if pa.types.is_integer(ids.type):
+        return (mix(ids.cast(pa.int64()).to_numpy().view(U64)) % U64(n)).astype(np.int64)
+    return np.array([zlib.crc32(str(x).encode()) % n for x in ids.to_pylist()], np.int64)
+
+
+def lists(keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the runs that begin at ``starts``."""
+    return list(zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
 
 
-def short_lists(batches, rare: int = RARE):
-    """The nodes of each strip that at most ``rare`` of them have; batches hold x, node in order of x.  Longer lists are only counted."""
-    key, held = None, []
+def strips(batches, n_ranges: int, rare: int = RARE):
+    """Rows (part, x, node, often): the unit strips of some nodes, packed by ranges of x; batches hold node, e.
 
-    def listed(nodes: list) -> bool:
-        return 0 < len(nodes) <= rare and None not in nodes
+    A strip that more than ``rare`` nodes of these have is said to be frequent in ``often``, without its nodes.
+    """
+    for batch in batches:
+        ends = np.cumsum([len(x.as_py()) // 8 for x in batch.column(1)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MANY // 4, side="right")))
+            part, sizes = batch.slice(at, to - at), np.diff(np.append(ends[at - 1] if at else 0, ends[at:to]))
+            ids, at = part.column(0), to
+            x = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), dtype=">u8").astype(U64)
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            by = np.lexsort((owner, x))
+            x, owner = x[by], owner[by]
+            head = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+            count = np.diff(np.append(head, len(x)))
+            often, few = x[head[count > rare]], np.repeat(count <= rare, count)
+            x, owner = x[few], owner[few]
+            # x is in order, and so are its ranges.
+            cut_at = [0, *(((r << 64) // n_ranges) for r in range(1, n_ranges))]
+            for r, (lo, hi) in enumerate(zip(cut_at, [*cut_at[1:], None], strict=True)):
+                a, c = (np.searchsorted(v, U64(lo)) for v in (x, often))
+                b, d = (np.searchsorted(v, U64(hi)) if hi is not None else len(v) for v in (x, often))
+                if a < b or c < d:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([r], pa.int64()),
+                            pa.array([x[a:b].view(np.int64)], pa.list_(pa.int64())),
+                            pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.take(pa.array(owner[a:b]))),
+                            pa.array([often[c:d].view(np.int64)], pa.list_(pa.int64())),
+                        ],
+                        names=["part", "x", "node", "often"],
+                    )
+
+
+def one_range(batches, kind: pa.DataType, n_slots: int, rare: int = RARE):
+    """Of each range the pairs (a, b) of nodes that share a strip of at most ``rare`` nodes, and how many such strips each node has, packed by slots of nodes.
+
+    Batches hold rows of strips in order of part.  Strips that turn out to be frequent are dropped as the range is read, so memory
+    follows the strips of few nodes.
+    """
+    empty = np.zeros(0, U64)
+    part, xs, ids, often, held = None, [], [], [empty], 0
+
+    def compact() -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        x = np.concatenate([empty, *xs])
+        nodes = pa.concat_arrays([pa.array([], kind), *ids])
+        known = np.unique(np.concatenate(often))
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        head = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(x)))
+        known = np.union1d(known, x[head[count > rare]])
+        few = ~np.isin(x, known)
+        return x[few], nodes.take(pa.array(order[few])), known
+
+    def closed():
+        x, nodes, _ = compact()
+        if not len(x):
+            return
+        code, names = ranks(nodes)
+        order = np.lexsort((code, x))
+        x, code = x[order], code[order]
+        slot = slots(names, n_slots)
+        number = np.bincount(code, minlength=len(names))
+        by = np.argsort(slot, kind="stable")
+        runs = lists(slot[by], np.flatnonzero(np.append(True, slot[by][1:] != slot[by][:-1])))
+        offsets = pa.array([0, *(to for _, _, to in runs)], pa.int32())
+        none = pa.nulls(len(runs), kind)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in runs], pa.int64()), pa.ListArray.from_arrays(offsets, names.take(pa.array(by))), pa.ListArray.from_arrays(offsets, pa.array(number[by])), none, none],
+            names=["slot", "nodes", "counts", "a", "b"],
+        )
+        pairs = []
+        for d in range(1, rare):
+            both = x[d:] == x[:-d]
+            both &= code[d:] != code[:-d]
+            pairs.append(np.stack([code[:-d][both], code[d:][both]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        for at in range(0, len(pairs), 1 << 16):
+            a, b = pairs[at : at + (1 << 16)].T
+            n = len(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.list_(pa.int64())), names.take(pa.array(a)), names.take(pa.array(b))], names=["slot", "nodes", "counts", "a", "b"]
+            )
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            if row.column(0)[0].as_py() != part:
+                yield from closed()
+                part, xs, ids, often, held = row.column(0)[0].as_py(), [], [], [empty], 0
+            xs.append(row.column(1).flatten().to_numpy().view(U64))
+            ids.append(row.column(2).flatten())
+            often.append(row.column(3).flatten().to_numpy().view(U64))
+            held += len(xs[-1])
+            if held > MANY:
+                x, nodes, known = compact()
+                xs, ids, often, held = [x], [nodes], [known], 0
+    yield from closed()
+
+
+def added(batches, kind: pa.DataType):
+    """Rows (node, own): the counts of each node added up; batches hold slot, nodes, counts in order of slot."""
+    slot, ids, counts = None, [], []
+
+    def closed():
+        if ids:
+            code, names = ranks(pa.concat_arrays(ids))
+            total = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([names, pa.array(total)], names=["node", "own"])
 
     for batch in batches:
-        kind, out = batch.column(1).type, []
-        for x, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if x != key:
-                if listed(held):
-                    out.append(held)
-                key, held = x, []
-            if len(held) <= rare:
-                held.append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(kind))], names=["l"])
-    if listed(held):
-        yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(kind))], names=["l"])
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            if row.column(0)[0].as_py() != slot:
+                yield from closed()
+                slot, ids, counts = row.column(0)[0].as_py(), [], []
+            ids.append(row.column(1).flatten())
+            counts.append(row.column(2).flatten().to_numpy())
+    yield from closed()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -286,13 +399,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links)
     crowded = meet.where("crowded").select("node").distinct()
     kind = held.schema["node"].dataType
-    each_strip = held.join(crowded, "node", "left_semi").mapInArrow(strips, T.StructType([T.StructField("x", T.LongType()), T.StructField("node", kind)]))
-    lists = cut(each_strip.repartition("x").sortWithinPartitions("x").mapInArrow(short_lists, T.StructType([T.StructField("l", T.ArrayType(kind))])))
-    own = lists.select(F.explode("l").alias("node")).groupBy("node").agg(F.count("*").alias("own"))
-    few = lists.where(F.size("l") > 1).select(F.array_sort("l").alias("l"))
-    few = few.select(F.explode(F.flatten(F.transform("l", lambda p: F.transform(F.filter("l", lambda q: q > p), lambda q: F.struct(p.alias("a"), q.alias("b")))))).alias("p")).select("p.*").distinct()
     size = F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).cast("long")
-    sizes = nodes.select("node", size.alias("size")).groupBy("node").agg(F.max("size").alias("size")).join(crowded, "node", "left_semi").join(own, "node", "left")
+    sizes = cut(nodes.select("node", size.alias("size")).groupBy("node").agg(F.max("size").alias("size")).join(crowded, "node", "left_semi"))
+    n_nodes, n_strips = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # Ranges and slots grow with what they hold, so that each is a task's worth.
+    n_ranges, n_slots = max(LEAST_PARTS, n_strips // (MANY // 8)), max(LEAST_PARTS, n_nodes // (MANY // 8))
+    arrow = to_arrow_type(kind)
+    packed = T.StructType([T.StructField("part", T.LongType()), T.StructField("x", T.ArrayType(T.LongType())), T.StructField("node", T.ArrayType(kind)), T.StructField("often", T.ArrayType(T.LongType()))])
+    each_strip = held.join(crowded, "node", "left_semi").mapInArrow(lambda b: strips(b, n_ranges), packed)
+    listed = T.StructType([T.StructField("slot", T.LongType()), T.StructField("nodes", T.ArrayType(kind)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("a", kind), T.StructField("b", kind)])
+    ranged = cut(each_strip.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: one_range(b, arrow, n_slots), listed))
+    counts = ranged.where("slot IS NOT NULL").select("slot", "nodes", "counts").repartition("slot").sortWithinPartitions("slot")
+    own = counts.mapInArrow(lambda b: added(b, arrow), T.StructType([T.StructField("node", kind), T.StructField("own", T.LongType())]))
+    few = ranged.where("slot IS NULL").select("a", "b").distinct()
+    sizes = sizes.join(own, "node", "left")
     sizes = sizes.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
     links, found = more_leaders(meet, sizes, links, found, held, least)
     placed = candidates(meet, sizes, found, least)

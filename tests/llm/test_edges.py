@@ -133,3 +133,38 @@ def test_pipeline(spark, tmp_path, texts):  # noqa: F811
     plain.write.parquet(f"{tmp_path}/b/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert cp.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_strips_packed_by_ranges_give_counts_and_pairs():
+    import itertools
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlake.llm import neardup as nd
+
+    rng = np.random.RandomState(7)
+    own = {n: rng.choice(2000, rng.randint(0, 12), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in range(300)}
+    for name in (int, lambda n: f"n{n:03}"):
+        batches = [pa.record_batch({"node": pa.array([name(n) for n in part]), "e": pa.array([np.sort(own[n]).astype(">u8").tobytes() for n in part], pa.binary())}) for part in np.array_split(np.arange(300), 7)]
+        kind = batches[0].schema.field("node").type
+        rows = sorted(pa.Table.from_batches(nd.strips(batches, 5, 2)).to_pylist(), key=lambda r: r["part"])
+        schema = pa.schema([("part", pa.int64()), ("x", pa.list_(pa.int64())), ("node", pa.list_(kind)), ("often", pa.list_(pa.int64()))])
+        held, nd.MANY = nd.MANY, 50
+        try:
+            found = pa.Table.from_batches(nd.one_range(pa.Table.from_pylist(rows, schema).to_batches(), kind, 3, 2)).to_pylist()
+        finally:
+            nd.MANY = held
+        by = {}
+        for n, x in own.items():
+            for v in x.tolist():
+                by.setdefault(v, []).append(name(n))
+        few = [sorted(v) for v in by.values() if len(v) <= 2]
+        assert len({(r["a"], r["b"]) for r in found if r["slot"] is None}) > 5
+        assert {(r["a"], r["b"]) for r in found if r["slot"] is None} == {p for v in few for p in itertools.combinations(v, 2)}
+        counted = sorted((r for r in found if r["slot"] is not None), key=lambda r: r["slot"])
+        listed = pa.schema([("slot", pa.int64()), ("nodes", pa.list_(kind)), ("counts", pa.list_(pa.int64()))])
+        total = pa.Table.from_batches(nd.added(pa.Table.from_pylist(counted, listed).to_batches(), kind)).to_pylist()
+        assert {r["node"]: r["own"] for r in total} == Counter(n for v in few for n in v)
+        assert len(total) == len({r["node"] for r in total})
