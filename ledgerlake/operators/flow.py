@@ -1,7 +1,7 @@
 """Maximum flow, minimum cut and bottlenecks.
 
 Capacities are aggregated and the network is pruned to walks from source to sink as
-DataFrames.  Up to ``most_edges`` pairs, what is left is solved in one task by blocking flows on level
+DataFrames if there are many.  Up to ``most_edges`` pairs, what is left is solved in one task by blocking flows on level
 graphs in exact integers.  A larger network stays a table: shortest augmenting paths are
 found by distributed search over the residual pairs, those of large capacity first, until there is
 none.  Both give the same value and the same least source side.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.graph import Graph, cut, union_all
+from ..sources.graph import Graph, cut, settled, union_all
 from .paths import reached, shortest_path
 
 MOST_EDGES = 2_000_000
@@ -24,7 +24,7 @@ MOST_EDGES = 2_000_000
 
 def capacities(graph: Graph) -> DataFrame:
     """src, dst, cap: summed over the Transfer edges; without any, over the edges from Account, Contract and Token."""
-    e = graph.edges
+    e = settled(graph.edges.select("label", "src", "dst", *(["amount"] if "amount" in graph.edges.columns else [])))
     cap = F.coalesce(F.col("amount").cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")) if "amount" in e.columns else F.lit(1).cast("decimal(38,0)")
     flows = e.where(F.col("label") == "Transfer")
     if flows.isEmpty():
@@ -101,10 +101,17 @@ SOLVED = "kind string, src long, dst long, flow decimal(38,0)"
 
 
 def solved(graph: Graph, source: int, target: int, most_edges: int = MOST_EDGES) -> DataFrame:
-    """Rows of kind value (flow), flow (src, dst, flow) and side (src: a vertex on the source side, of those on walks to the target)."""
-    net = cut(pruned(graph, cut(capacities(graph)), source, target))
-    if net.count() > most_edges:
-        return augmented(net, source, target)
+    """Rows of kind value (flow), flow (src, dst, flow) and side (src: a vertex on the source side; of a large network, of those on walks to the target)."""
+    return solved_from(graph, cut(capacities(graph)), source, target, most_edges)
+
+
+def solved_from(graph: Graph, caps: DataFrame, source: int, target: int, most_edges: int) -> DataFrame:
+    """The same from written capacities.  A network that fits one task is solved as it is; only of a larger one the walks are searched first."""
+    net = caps
+    if caps.count() > most_edges:
+        net = cut(pruned(graph, caps, source, target))
+        if net.count() > most_edges:
+            return augmented(net, source, target)
     marker = graph.spark.createDataFrame([(None, None, None)], "src long, dst long, cap decimal(38,0)")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,10 +168,10 @@ def min_cut(graph: Graph, source: int, target: int, most_edges: int = MOST_EDGES
     Vertices that the side reaches but that can't reach the target are on it, too: nothing flows to them, so their pairs are open.
     """
     caps = cut(capacities(graph))
-    held = Graph(graph.vertices, caps.select(F.lit(0).cast("long").alias("id"), F.lit("Transfer").alias("label"), "src", "dst", F.col("cap").alias("amount")))
-    front = cut(solved(held, source, target, most_edges).where("kind = 'side'").select(F.col("src").alias("id")))
-    if source == target:
+    front = cut(solved_from(graph, caps, source, target, most_edges).where("kind = 'side'").select(F.col("src").alias("id")))
+    if source == target or caps.count() <= most_edges:
         return front
+    held = Graph(graph.vertices, caps.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("label"), "src", "dst"))
     ends = reached(held, target, direction="backward").select(F.col("id").alias("dst"))
     dead = cut(caps.join(ends, "dst", "left_anti").select("src", "dst"))
     parts = [front]
@@ -187,5 +194,5 @@ def multi_source_sink_max_flow(graph: Graph, pairs: list[tuple[int, int]]) -> Da
 def find_bottleneck_edges(graph: Graph, source: int, target: int) -> DataFrame:
     """src, dst, cap of the pairs that the flow fills."""
     caps = cut(capacities(graph))
-    held = Graph(graph.vertices, caps.select(F.lit(0).cast("long").alias("id"), F.lit("Transfer").alias("label"), "src", "dst", F.col("cap").alias("amount")))
-    return flows(held, source, target).join(caps, ["src", "dst"]).where("flow = cap").select("src", "dst", "cap")
+    used = solved_from(graph, caps, source, target, MOST_EDGES).where("kind = 'flow'").select("src", "dst", "flow")
+    return used.join(caps, ["src", "dst"]).where("flow = cap").select("src", "dst", "cap")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans import ast as A
 from ..plans.parser import is_aggregate
-from ..sources.graph import Graph, cut, union_all
+from ..sources.graph import Graph, cut, settled, union_all
 from .expressions import Compiler, GqlError, Table, c
 
 #: Hops of a quantifier without an upper bound.
@@ -275,9 +275,9 @@ class Matcher:
         table = state.table
         df = table.df.withColumns({"_to": c(state.last), "_base": F.size("_e")})
         levels = [df] if q.low == 0 else []
-        # Edges are read anew at each level, with their filters pushed down: at scale a copy of them costs more than a scan.
-        if high > 2 and isinstance(part, A.Paren):
-            relation = cut(relation)
+        # Stored edges are read anew at each level, with their filters pushed down: a copy of them costs more than a scan.
+        if high > 2:
+            relation = settled(relation)
         for d in range(1, high + 1):
             joined = df.join(relation.select(F.col("_from").alias("_rf"), F.col("_to").alias("_rt"), "_hv", "_he"), c("_to") == c("_rf"))
             joined = guarded_run(joined, mode, "_hv", "_he", state.first)
@@ -366,7 +366,7 @@ class Matcher:
         q = edge.quantifier
         start = self.start(head)
         begin = start.table.df.select(c(start.first).alias("_s")).distinct()
-        relation = self.relation(edge, "WALK").select("_from", "_to", F.col("_he")[0].alias("_eid"))
+        relation = settled(self.relation(edge, "WALK").select("_from", "_to", F.col("_he")[0].alias("_eid")))
         front = cut(begin.select("_s", F.col("_s").alias("_t"), F.array("_s").alias("_v"), F.array().cast("array<bigint>").alias("_e")))
         levels = [front] if q.low == 0 else []
         seen = front.select("_s", "_t")
@@ -405,8 +405,9 @@ class Matcher:
     def graph_pattern(self, pattern: A.GraphPattern) -> Table:
         """All paths of a pattern joined on what they share, then its WHERE."""
         whole: Table | None = None
+        alone = [e for e in conjuncts(pattern.where) if not has_exists(e)]
         for i, path in enumerate(pattern.paths):
-            table = self.path(path)
+            table = self.path(replace(path, terms=tuple(started(t, alone) for t in path.terms)))
             if pattern.keep:
                 ends = table.df.withColumns({"_first": F.element_at("_v", 1), "_last": F.element_at("_v", -1)})
                 table = Table(chosen(ends, pattern.keep), table.kinds)
@@ -444,6 +445,18 @@ def conjuncts(e: A.Expr | None) -> list[A.Expr]:
     return [e]
 
 
+def started(term: tuple, conditions: list[A.Expr]) -> tuple:
+    """The term with the conditions on its first vertex alone at that vertex, if repetitions follow: they would go on from every vertex else.
+
+    Searches choose among the paths between two ends, so a condition on one end may come first.
+    """
+    head = term[0]
+    if not isinstance(head, A.Node) or not head.var or not any(x.quantifier for x in term[1:] if isinstance(x, A.Edge | A.Paren)):
+        return term
+    own = [e for e in conditions if names(e) == {head.var}]
+    return (replace(head, where=conjunction([*conjuncts(head.where), *own])), *term[1:]) if own else term
+
+
 def conjunction(parts: list[A.Expr]) -> A.Expr | None:
     return reduce(lambda a, b: A.Binary("AND", a, b), parts) if parts else None
 

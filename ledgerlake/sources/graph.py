@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -32,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` for a loop that reads it again and again: as it is if only files are scanned, filtered and projected; written once if it takes joins, windows or sums."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df) if re.search(r"^[\s:+-]*(Join|Window|Aggregate|Sort|Distinct|Generate|Deduplicate)", plan, re.M) else df
+
+
 @dataclass(frozen=True)
 class Graph:
     """vertices: id, label and properties; edges: id, label, src, dst and properties; schema: declared types by label."""

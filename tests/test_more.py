@@ -42,6 +42,7 @@ def test_least_cut_holds_dead_ends(spark):
     assert sorted(r.id for r in flow.min_cut(g, 1, 3).collect()) == [1, 2, 7, 8]
     assert sorted(r.id for r in flow.min_cut(g, 9, 1).collect()) == [9]
     assert sorted(r.id for r in flow.min_cut(g, 1, 10).collect()) == [1, 2, 3, 7, 8, 9]
+    assert sorted(r.id for r in flow.min_cut(g, 1, 3, most_edges=0).collect()) == [1, 2, 7, 8]
 
 
 def test_repeated_ids_are_found(spark):
