@@ -271,3 +271,26 @@ def bottlenecks_are_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _f, _sql in ((multi_flow_is_sum, "SELECT true AS is_sum, true AS positive"), (bottlenecks_are_full, "SELECT true AS all_full")):
     QUERIES[_f.__name__], SQL[_f.__name__] = _f, _sql
+
+# -- what SHOW lists, spelled out -------------------------------------------------------
+SQL["show_procedures"] = """SELECT * FROM (VALUES
+('shortest_path', 'source, target', 'Shortest directed path'), ('all_paths', 'source, target [, depth [, limit]]', 'Simple directed paths'),
+('k_shortest_paths', 'source, target, k [, depth]', 'The k shortest simple paths'), ('trace', 'vertex [, direction [, depth [, limit]]]', 'Simple paths from a vertex'),
+('trace_fund_flow', 'vertex [, depth [, limit]]', 'Forward over Transfer edges'), ('trace_fund_source', 'vertex [, depth [, limit]]', 'Backward over Transfer edges'),
+('n_hop_neighbors', 'vertex, n', 'Vertices at a distance of n'), ('neighbors', 'vertex [, direction]', 'Adjacent vertices, an edge each'), ('degree', 'vertex', 'In- and out-degree'),
+('connected', 'source, target', 'Directed reachability'), ('max_flow', 'source, target [, limit]', 'Maximum flow and its edges'), ('min_cut', 'source, target', 'Source side of the least minimum cut'),
+('bottleneck_edges', 'source, target', 'Pairs that a maximum flow fills'), ('multi_max_flow', 'source, target [, source, target ...]', 'Sum of the pairs'' maximum flows'),
+('db.labels', '', 'Vertex labels in use')) AS t(name, parameters, description)"""
+SQL["show_property_keys"] = """SELECT split_part(x, ' ', 1) AS property, split_part(x, ' ', 2) AS type, defined_by FROM (SELECT unnest(string_split(props, ', ')) AS x, defined_by FROM (VALUES
+('address STRING, entity_label STRING, risk_label STRING, first_seen_block INT64, last_active_block INT64', '__Account'),
+('hash STRING, block_number INT64, block_timestamp INT64, value STRING, gas_used INT64, gas_price STRING, status INT', '__Transaction'),
+('number INT64, hash STRING, parent_hash STRING, timestamp INT64, miner STRING, tx_count INT64', '__Block'),
+('address STRING, name STRING, symbol STRING, decimals INT, total_supply STRING', '__Token'),
+('address STRING, name STRING, creator STRING, creation_block INT64, is_verified BOOL, bytecode_hash STRING', '__Contract'),
+('token_address STRING, first_time INT64, last_time INT64, sum STRING, tx_count INT64', '__Transfer'),
+('type STRING, value STRING', '__TxRel'),
+('method STRING, tx_hash STRING, block_number INT64, success BOOL', '__Call'),
+('token_address STRING, amount STRING, tx_hash STRING', '__Approval'),
+('token_address STRING, amount STRING, tx_hash STRING, log_index INT', '__TokenTransfer')) AS t(props, defined_by))"""
+SQL["show_functions"] = """SELECT name, CASE WHEN name IN ('COUNT', 'SUM', 'AVG', 'MIN', 'MAX', 'COLLECT', 'STDDEV', 'STDDEV_SAMP', 'STDDEV_POP', 'VARIANCE', 'VAR_SAMP', 'VAR_POP', 'APPROX_COUNT_DISTINCT', 'PERCENTILE_APPROX') THEN 'aggregate' ELSE 'scalar' END AS kind
+FROM (SELECT unnest(string_split('COUNT SUM AVG MIN MAX COLLECT STDDEV STDDEV_SAMP STDDEV_POP VARIANCE VAR_SAMP VAR_POP APPROX_COUNT_DISTINCT PERCENTILE_APPROX ID LABEL TOSTRING TOINTEGER TOFLOAT SIZE RANGE NODES EDGES PATH_LENGTH ABS CEIL FLOOR ROUND SQRT EXP LN LOG10 SIGN SIN COS TAN GREATEST LEAST COALESCE NULLIF LENGTH CHAR_LENGTH OCTET_LENGTH LOWER UPPER TRIM LTRIM RTRIM SUBSTRING REPLACE REVERSE SPLIT CONCAT CONCAT_WS LPAD RPAD REGEXP_EXTRACT REGEXP_REPLACE ELEMENT_AT ARRAY_DISTINCT ARRAY_UNION ARRAY_INTERSECT ARRAY_MAX ARRAY_MIN ARRAY_SORT SLICE FLATTEN MAP_KEYS MAP_VALUES GET_JSON_OBJECT TO_JSON CURRENT_DATE CURRENT_TIMESTAMP DATE_TRUNC DATEDIFF YEAR MONTH DAY HEX UNHEX CONV MOD POWER', ' ')) AS name)"""
