@@ -1,8 +1,10 @@
-"""Command line: import files into a stored graph, run statements, show statistics.
+"""Command line: import files into a stored graph, run statements, show statistics, open a console, serve over HTTP.
 
     python -m ledgerlake.cli import -i transfers.csv -d FOLDER [-f csv|jsonl|json]
     python -m ledgerlake.cli query -d FOLDER [-e STATEMENT] [-s SCRIPT] [--format table|vertical|json] [--tee FILE]
     python -m ledgerlake.cli stats -d FOLDER
+    python -m ledgerlake.cli console -d FOLDER
+    python -m ledgerlake.cli serve -d FOLDER [--host HOST] [--port PORT]
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import time
 
 from pyspark.sql import SparkSession
 
+from .console import Console
 from .engine import Engine
+from .service import Service
 from .sources import sinks
 from .sources.graph import Graph
 from .sources.importers import imported
@@ -30,7 +34,10 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     ask.add_argument("-s", "--script")
     ask.add_argument("--format", choices=("table", "vertical", "json"), default="table")
     ask.add_argument("--tee")
-    for p in (into, ask, commands.add_parser("stats")):
+    serve = commands.add_parser("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8080)
+    for p in (into, ask, serve, commands.add_parser("stats"), commands.add_parser("console")):
         p.add_argument("-d", "--data", required=True)
     return top.parse_args(argv)
 
@@ -61,6 +68,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, show=
         out(sinks.table_text(Engine(spark, graph).gql("SHOW GRAPHS")))
         return 0
     engine, failed = Engine(spark, graph), 0
+    if args.command == "console":
+        Console(engine, show).run(sys.stdin)
+        return 0
+    if args.command == "serve":
+        with Service(engine).server(args.host, args.port) as server:
+            out(f"http://{server.server_address[0]}:{server.server_address[1]}")
+            server.serve_forever()
+        return 0
     if args.tee:
         out.open(args.tee)
     render = {"table": sinks.table_text, "vertical": sinks.vertical_text, "json": sinks.envelope}[args.format]
