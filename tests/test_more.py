@@ -79,3 +79,34 @@ def test_command_line(spark, tmp_path):
     assert main(["query", "-d", data, "-e", "MATCH (a) RETURN a.address AS a ORDER BY a LIMIT 1", "--format", "vertical"], spark, show) == 0
     assert main(["stats", "-d", data], spark, show) == 0
     assert said[0] == "-- row 1\na: a" and "| default | Closed | 3            | 2          |" in said[1]
+
+
+@pytest.mark.parametrize("name", ["call_shortest_path", "call_shortest_path_whole"])
+@pytest.mark.parametrize(("users", "steps"), [(1, 0), (2, 0), (6, 4), (7, 5)])
+def test_shortest_path_has_the_length_its_sql_walks(spark, tmp_path, name, users, steps):
+    """Users who hand on in a row: the last to hand on is so many steps from the first."""
+    import datetime
+
+    import duckdb
+    from test_queries import Q, plain
+
+    start = datetime.datetime(2024, 1, 1, 20)
+    events = [(i, start + datetime.timedelta(hours=i), i, "purchase", 1.0 + i, None) for i in range(users)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got, want = Q.QUERIES[name](spark, str(tmp_path)), c.sql(Q.SQL[name])
+    found = got.collect()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert plain(found, got.columns) == plain(want.fetchall(), want.columns)
+    assert [r.length for r in found] == ([steps] if steps and (steps <= 4 or name.endswith("_whole")) else [])
+
+
+def test_long_shortest_path_among_cycles(spark):
+    from ledgerlake.operators import paths
+
+    chain = [(i, i, i + 1, 1) for i in range(1, 19)]
+    back = [(100 + i, i, i - 2, 1) for i in range(3, 20)]
+    g = graph(spark, [*chain, *back, (200, 1, 2, 5), (0, 18, 1, 1)])
+    assert rows(paths.shortest_path(g, 1, 19)) == [(list(range(1, 20)), list(range(1, 19)), 18, 18.0)]
+    assert rows(paths.shortest_path(g, 1, 20)) == []
